@@ -60,12 +60,14 @@ def _sha(data: bytes) -> str:
 def _profile(k: int):
     """Per text: digest, number of words, hash of all its words, minimizers and how often each counts."""
 
+    m = min(MINIMIZER, k)
+
     def run(batches):
         for batch in batches:
             ids, n, sha, mins, weight = [], [], [], [], []
             for block in V.blocks(batch.column(1)):
                 w = V.words(block)
-                low = _window_minima(w.hash, k)
+                low, grams = _window_minima(w.hash, k), V.windows(w.hash, m)
                 raw = block.data.tobytes()
                 for i in range(block.hi - block.lo):
                     a, z = w.off[i], w.off[i + 1]
@@ -73,12 +75,14 @@ def _profile(k: int):
                     n.append(int(z - a))
                     sha.append(_sha(b" ".join(raw[block.off[i] : block.off[i + 1]].split())))
                     own = low[a : max(a, z - k + 1)]
-                    at = np.flatnonzero(np.diff(own, prepend=~own[:1])) if len(own) else np.zeros(0, np.int64)
-                    value, count = np.unique(own[at], return_counts=True)
-                    # a run of windows longer than one place of its hash can serve has that hash at two places
-                    long = own[at[np.diff(at, append=len(own)) > k - min(MINIMIZER, k) + 1]]
+                    value = np.unique(own[np.flatnonzero(np.diff(own, prepend=~own[:1]))]) if len(own) else own
+                    count = np.zeros(len(value), np.int64)
+                    if len(own):  # at how many places of this text each of them occurs
+                        gram = grams[a : z - m + 1]
+                        to = np.minimum(np.searchsorted(value, gram), len(value) - 1)
+                        count = np.bincount(to[value[to] == gram], minlength=len(value))
                     mins.append(value.view(np.int64))
-                    weight.append(np.where((count > 1) | np.isin(value, long), 2, 1).astype(np.int8))
+                    weight.append(np.minimum(count, 2).astype(np.int8))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), pa.array(mins, pa.list_(pa.int64())), pa.array(weight, pa.list_(pa.int8()))],
                 names=["doc_id", "digest", "n_words", "sha", "mins", "weight"],
