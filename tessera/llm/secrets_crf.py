@@ -244,9 +244,21 @@ class Field:
         return out
 
 
+def _shapes(r: np.random.Generator, n: int = 300) -> np.ndarray:
+    """Cells of made-up keys: random characters of several alphabets and lengths."""
+    plain = "0123456789abcdefghijklmnopqrstuvwxyz"
+    made = []
+    for alphabet in (plain, plain + plain[10:].upper(), plain + plain[10:].upper() + "_-", plain[:10] + plain[10:].upper()):
+        made += ["".join(r.choice(list(alphabet), int(r.integers(16, 45)))) for _ in range(n // 4)]
+    block = next(V.blocks(pa.array(made)))
+    _, _, cell, off = tokens(block)
+    return cell[off[:-1]]
+
+
 def _examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token sequences round base matches, and as many without any."""
     cells, tags, r = [], [], np.random.default_rng(9)
+    shapes = _shapes(r)
     for text in texts:
         start, end, cell, _ = tokens(next(V.blocks(pa.array([text]))))
         if not len(start):
@@ -268,6 +280,10 @@ def _examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = np.array(np.unravel_index(c, _SIZES))
             x[6] = 0
             c = np.ravel_multi_index(tuple(x), _SIZES)
+        if len(at) and r.random() < 0.6:  # of another shape: what other services hand out
+            own = np.array(np.unravel_index(c, _SIZES))
+            own[:5, tag[part] > 0] = np.array(np.unravel_index(r.choice(shapes), _SIZES))[:5, None]
+            c = np.ravel_multi_index(tuple(own), _SIZES)
         cells.append(c), tags.append(tag[part])
     n = np.array([len(c) for c in cells], np.int64)
     out = np.zeros((2, len(cells), CONTEXT), np.int64)
