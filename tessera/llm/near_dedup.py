@@ -206,3 +206,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), "set_id").select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "set_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows and columns with one document of each group of near copies.
+
+    Of repeated rows with an equal id and text one stays; rows without an id all stay.
+    """
+    found = stored(near_duplicates(docs, shingle, percent).select("doc_id", "kept"))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    n, distinct = found.filter("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if n == distinct:
+        return out
+    named = out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(out.filter("doc_id is null"))

@@ -128,3 +128,17 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
+    """The input's rows and columns whose ``text`` scores at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        net = shared.value
+        for batch in batches:
+            s = [net.score(b) for b in V.blocks(batch.column(place), 1 << 18)]
+            yield batch.filter(pa.array(np.concatenate(s) >= least)) if s else batch
+
+    return docs.mapInArrow(run, docs.schema)
