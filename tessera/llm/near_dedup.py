@@ -9,9 +9,10 @@
    member.  Bit counts of signatures give a collision-corrected estimate;
    pairs more than six standard deviations under the threshold go, the rest
    is confirmed on full sets.
-4. Buckets that still hold more than one component are finished exactly: their
-   members are compared in blocks, and only pairs of different components that
-   pass the estimate are emitted and confirmed.
+4. Buckets that still hold more than one component get more hubs, and are then
+   finished exactly: their members are compared in blocks, and only pairs of
+   different components that pass the estimate are confirmed, on their full
+   sets, where they stand; only links leave the task.
 
 Empty and null texts have an empty set and are linked with nothing, as are rows
 without a ``doc_id`` (their component is null and they are kept).
@@ -22,8 +23,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ PERMUTATIONS = 128
 BITS = 2
 MISS = 1e-6
 SIGMAS = 6
-BLOCK = 2000
+BLOCK = 1000
+HUBS = 6
 
 _r = np.random.Generator(np.random.PCG64(77))
 _A = _r.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -123,28 +125,60 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def _blockwise(percent: int, least: float):
-    """Pairs of different components in one bucket's block pair that pass the estimate."""
+    """Links between different components in one bucket's block pair, confirmed on full sets.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side != 2], pdf[pdf.side != 1]
-        sig = lambda f: np.array(f.sig.tolist(), dtype=np.int64).view(np.uint64).reshape(len(f), -1)
-        a, b = sig(left), sig(right)
-        ra, rb, ca, cb, na, nb = (f[c].to_numpy() for c in ("rep", "c", "n") for f in (left, right))
+    Members of several common buckets meet in the first of them only.
+    """
+
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        sig, bands = matrix(table, "sig").view(np.uint64), matrix(table, "bands")
+        rep, comp, n = (table.column(x).to_numpy() for x in ("rep", "c", "n"))
+        key = table.column("key")[0].as_py()
+        sets = table.column("s").combine_chunks()
+        value, off = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False))])
         found = []
-        for at in range(0, len(a), 256):
-            d = a[at : at + 256, None, :] ^ b[None, :, :]
-            d = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_LANES)).sum(axis=2, dtype=np.int64)
+        for x in left.tolist():
+            d = sig[right] ^ sig[x]
+            d = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_LANES)).sum(axis=1, dtype=np.int64)
             est = (1 - d / PERMUTATIONS - 0.5**BITS) / (1 - 0.5**BITS)
-            n1, n2 = na[at : at + 256, None], nb[None, :]
-            ok = (est >= least) & (ca[at : at + 256, None] != cb[None, :]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            i, j = np.nonzero(ok)
-            found.append(np.stack([np.minimum(ra[at + i], rb[j]), np.maximum(ra[at + i], rb[j])], axis=1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            y = right[(est >= least) & (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            if len(y):
+                shared = bands[y] == bands[x]
+                y = y[bands[x][shared.argmax(axis=1)] == key]
+            if side[x] == 0:
+                y = y[y > x]  # inside one block each pair once
+            for at in range(0, len(y), 64):
+                part = y[at : at + 64]
+                own = value[off[x] : off[x + 1]]
+                each = np.concatenate([value[off[j] : off[j + 1]] for j in part.tolist()])
+                hit = own[np.minimum(np.searchsorted(own, each), len(own) - 1)] == each
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(off[part + 1] - off[part])[:-1]]), dtype=np.int64)
+                part = part[100 * both >= percent * (n[part] + n[x] - both)]
+                if len(part):
+                    found.append(np.stack([np.minimum(rep[part], rep[x]), np.maximum(rep[part], rep[x])], axis=1))
+        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     return run
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links between nodes."""
+    if not links.take(1):
+        return comps
+    of = comps.toDF("n", "c")
+    ends = links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    again = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("c", "c2")
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    comps = comps.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("c"))
+    return stored(comps.join(again, "c", "left").select("node", F.coalesce("c2", "c").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, set_id``: one row per input row.
 
@@ -169,7 +203,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     near = near.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
     near = near.filter(sizes).select("a", "b").distinct()
     sigs = reps.select("rep", "sig")
-    near = near.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+        return both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
 
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, s array<long>"))
@@ -179,26 +217,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         both = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
         return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
-    comps = stored(components(confirmed(near)))
+    comps = stored(components(confirmed(likely(near))))
+
+    def opened(comps: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components; those of up to three members have been compared in full."""
+        rows = members.filter("m > 3").select("key", "rep", "n", "m").join(comps.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        mixed = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 != c2").select("key")
+        return stored(rows.join(mixed, "key", "left_semi"))
+
+    # More hubs for the buckets that are still mixed: a member meets only hubs of other components.
+    left = opened(comps)
+    hubs = left.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "c")).alias(f"h{j}") for j in range(HUBS)])
+    met = left.join(hubs, "key").select("rep", "n", F.explode(F.filter(F.array(*[f"h{j}" for j in range(HUBS)]), lambda h: h["c"] != F.col("c"))).alias("hub"))
+    met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+    comps = _joined(comps, stored(confirmed(likely(met.filter(sizes).select("a", "b").distinct()))))
 
-    # Buckets of up to three members have been compared in full by their two hubs.
-    left = members.filter("m > 3").select("key", "rep", "n", "m").join(comps.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    open_ = left.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("c1 != c2")
-    open_ = open_.groupBy("m", "who").agg(F.min("key").alias("key")).select("key")  # equal buckets are done once
-    left = left.join(open_, "key", "left_semi").join(sigs, "rep")
+    left = opened(comps).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    left = left.select("key", "rep", "n", "c", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
-    rest = left.groupBy("key", "i", "j").applyInPandas(_blockwise(percent, least), "a long, b long").distinct()
-    links = stored(confirmed(rest))
-    if links.take(1):
-        of = comps.toDF("n", "c")
-        joined = links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-        merged = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        again = components(merged).toDF("c", "c2")
-        linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        comps = comps.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("c"))
-        comps = stored(comps.join(again, "c", "left").select("node", F.coalesce("c2", "c").alias("component")))
+    left = left.select("key", "rep", "n", "c", "sig", "bands", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
+    comps = _joined(comps, stored(left.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct()))
 
     out = sig.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left")
     out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
