@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from tessera.llm import textvec as V
+from tessera.llm.common import texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 400_000
@@ -363,7 +364,7 @@ def _readable(data: bytes) -> bytes:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``; null texts read as empty (no ids)."""
-    return docs.select("doc_id", "text").mapInArrow(_round_trip(path or vocabulary_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(_round_trip(path or vocabulary_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -376,7 +377,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [c.encode(x or "").astype(np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -47,6 +47,19 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """Only ``doc_id`` and ``text``, so that other columns can have any name."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: Column, n: int) -> Column:
     """crc32 of the value's text modulo ``n``; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % n

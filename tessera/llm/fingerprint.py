@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import texts_of
+
 SHINGLE = 5
 SCALE = 16
 WHOLE = 64
@@ -77,7 +79,7 @@ def _common(a: Column, b: Column) -> tuple[Column, Column]:
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> DataFrame:
     """``doc_id, fingerprint, sketch`` of every document."""
-    packed = docs.select("doc_id", sketch(F.col("text"), k, scale, whole).alias("sketch"))
+    packed = texts_of(docs).select("doc_id", sketch(F.col("text"), k, scale, whole).alias("sketch"))
     return packed.select("doc_id", _as_text(F.col("sketch")).alias("fingerprint"), "sketch")
 
 
@@ -89,7 +91,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     each bucket gets a copy of the row that follows its last one, and a window
     inside the buckets does the rest, so texts move once.
     """
-    docs = docs.select("doc_id", "text").withColumn("bucket", F.floor(F.col("doc_id") / BUCKET)).withColumn("tie", F.xxhash64("text"))
+    docs = texts_of(docs).withColumn("bucket", F.floor(F.col("doc_id") / BUCKET)).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     head = F.min(F.struct((-F.col("doc_id")).alias("d"), "tie", "text"))
     heads = docs.groupBy("bucket").agg(head.alias("head"))

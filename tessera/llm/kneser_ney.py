@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import shared_dir
+from tessera.llm.common import shared_dir, texts_of
 
 END = np.uint64(0x5EED0E4D)
 FLUSH = 3_000_000
@@ -421,4 +421,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base.astype(float)), pa.array(logs.astype(float)), pa.array(10.0 ** (-logs.astype(float) / np.maximum(n, 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

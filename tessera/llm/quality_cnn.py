@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
+from tessera.llm.common import texts_of
 
 SAMPLE = 4000
 EPOCHS = 14
@@ -127,7 +128,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:

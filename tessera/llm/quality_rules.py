@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
+from tessera.llm.common import texts_of
 
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.26
@@ -142,7 +143,7 @@ _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 
 def _judge(refs: dict[str, list[int]], min_words: int, class_limit: float, word_limit: float):
     names = list(refs)
-    table = np.array([refs[x] for x in names], float).reshape(len(names), -1)
+    table = np.array([refs[x] for x in names] or np.zeros((0, _CLASSES + len(_WORDS) + 1)), float)
     chars = table[:, :_CLASSES] / np.maximum(table[:, :_CLASSES].sum(axis=1, keepdims=True), 1)
     words = table[:, _CLASSES:] / np.maximum(table[:, _CLASSES:].sum(axis=1, keepdims=True), 1)
 
@@ -181,4 +182,4 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: floa
     Null and empty texts have no words and fail the base rule.  Without any
     language to refer to, only the base rule decides.
     """
-    return docs.select("doc_id", "text").mapInArrow(_judge(references(docs), min_words, class_limit, word_limit), _OUT)
+    return texts_of(docs).mapInArrow(_judge(references(docs), min_words, class_limit, word_limit), _OUT)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
+from tessera.llm.common import texts_of
 
 SAMPLE = 1500
 CONTEXT = 40
@@ -365,7 +366,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:

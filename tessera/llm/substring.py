@@ -30,9 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textvec as V
-from tessera.llm.common import stored
+from tessera.llm.common import stored, texts_of, unused
 
 MINIMIZER = 8
 WORDS = 35
@@ -169,7 +170,7 @@ def _compact(k: int):
 
 def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """``(profile, cleaned)``: a row per text, and a row per class that loses words."""
-    profile = stored(docs.select("doc_id", "text").mapInArrow(_profile(k), "doc_id long, digest binary, n_words long, sha string, mins array<long>, weight array<byte>"))
+    profile = stored(texts_of(docs).mapInArrow(_profile(k), "doc_id long, digest binary, n_words long, sha string, mins array<long>, weight array<byte>"))
     classes = profile.filter(F.col("n_words") >= k).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("weight").alias("weight"))
     classes = stored(classes)
     listed = classes.select("digest", F.explode(F.arrays_zip("mins", "weight")).alias("x")).select("digest", F.col("x.mins").alias("h"), F.col("x.weight").alias("weight"))
@@ -177,7 +178,7 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     flagged = listed.select("digest", "h").join(twice, "h").groupBy("digest").agg(F.collect_list("h").alias("hs"))
     flagged = flagged.join(classes.select("digest", "copies", "rep"), "digest")
 
-    sources = docs.select("doc_id", "text").join(flagged, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "hs", "copies")
+    sources = texts_of(docs).join(flagged, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "hs", "copies")
     found = sources.mapInArrow(_edges(k), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
     found = stored(found.withColumn("cid", F.monotonically_increasing_id()))
     n, distinct = found.agg(F.count("*"), F.count_distinct("digest")).first()
@@ -223,13 +224,16 @@ def repeated_passages(docs: DataFrame, k: int = WORDS) -> DataFrame:
     )
 
 
-def _with_digest(batches):
-    for batch in batches:
-        ids = []
-        for block in V.blocks(batch.column(batch.schema.get_field_index("text"))):
-            w = V.words(block)
-            ids += [_digest(w, i) for i in range(block.hi - block.lo)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "_digest"])
+def _with_digest(name: str):
+    def run(batches):
+        for batch in batches:
+            ids = []
+            for block in V.blocks(batch.column(batch.schema.get_field_index("text"))):
+                w = V.words(block)
+                ids += [_digest(w, i) for i in range(block.hi - block.lo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, name])
+
+    return run
 
 
 def remove_repeated(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -238,8 +242,9 @@ def remove_repeated(docs: DataFrame, k: int = WORDS) -> DataFrame:
     Texts that lose nothing stay as they are; others keep their remaining words
     joined by one space (an empty text if none remain).
     """
-    _, cleaned = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _digest binary"
-    rows = docs.mapInArrow(_with_digest, schema).join(cleaned.select(F.col("digest").alias("_digest"), F.col("whole").alias("_whole"), F.col("kept").alias("_kept")), "_digest", "left")
-    text = F.when(F.col("_whole"), F.lit("")).otherwise(F.coalesce("_kept", "text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    _, cleaned = _classes(texts_of(docs), k)
+    digest, whole, kept = (unused(x, docs) for x in ("_digest", "_whole", "_kept"))
+    rows = docs.mapInArrow(_with_digest(digest), T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
+    rows = rows.join(cleaned.select(F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("kept").alias(kept)), digest, "left")
+    text = F.when(F.col(whole), F.lit("")).otherwise(F.coalesce(kept, "text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
