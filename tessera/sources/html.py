@@ -27,6 +27,10 @@ _WHOLE, _BAD = re.compile(P.EMAIL_WHOLE), [re.compile(p) for p in P.STRICT_INVAL
 _ONCLICK = [re.compile(p, re.I) for p in (rf"mailto:({_PLAIN})", rf"'({_PLAIN})'", rf'"({_PLAIN})"')]
 
 
+_CUE = re.compile(r"\bat\b|＠|&", re.I)  # what the rules for hidden addresses need
+_MARKS = (("@",), ("[at]", "[dot]"), ("(at)", "(dot)"), ("at", "dot"), ("&#64;",), ("＠",))  # and what each of them needs
+
+
 class Node:
     """An element; ``children`` are elements and strings in document order."""
 
@@ -124,6 +128,11 @@ def links(root: Node, url: str) -> list[str]:
     return out
 
 
+def has_at(html: str) -> bool:
+    """Whether any text or attribute of the page can hold an ``@``, plain, as an entity or escaped in a link."""
+    return "@" in html or "%40" in html or ("&" in html and "@" in unescape(html))
+
+
 def structured_hits(root: Node) -> list[tuple]:
     """``(email, method, confidence, context, text to read fields from)`` of tables, lists, cards and plain text."""
     out = []
@@ -200,7 +209,8 @@ def fallback_hits(root: Node, html: str) -> list[tuple]:
                     continue
                 if "@" in decoded:
                     out.append((decoded.lower().strip(), "data_attribute_base64", 0.8, context))
-    for trigger in _TRIGGERS:
+    plain = has_at(html)
+    for trigger in _TRIGGERS if plain else ():
         test = re.compile(re.escape(trigger), re.I)
         for parent in [root, *nodes]:
             if not any(isinstance(c, str) and test.search(c) for c in parent.children):
@@ -212,13 +222,14 @@ def fallback_hits(root: Node, html: str) -> list[tuple]:
                     out.append((m[1].lower(), "contact_form_trigger", 0.9, f"{trigger}: {x.text(strip=True)[:100]}"))
                 text = x.text()
                 out += [(e.lower(), "contact_form_text", 0.85, f"{trigger}: {text[:100]}") for e in _ANY.findall(text)]
-    text = readable(root, html)
-    for name, pattern, confidence in P.STANDARD:
+    text = readable(root, html) if plain or _CUE.search(html) else ""  # no rule below finds anything else
+    for name, pattern, confidence in P.STANDARD if "@" in text else ():
         for m in re.finditer(pattern, text):
             found = m[1] if name in ("with_context", "basic", "relaxed") else m[0]
             out.append((found.lower().strip().strip("\"'()[]{}"), f"standard_{name}", confidence, _context(text, m.start(), m.end())))
-    for pattern in P.OBFUSCATED:
-        for m in re.finditer(pattern, text):
+    low = text.lower()
+    for mark, pattern in zip(_MARKS, P.OBFUSCATED, strict=True):
+        for m in re.finditer(pattern, text) if all(x in low for x in mark) else ():
             out.append((f"{m[1]}@{m[2]}.{m[3]}".lower(), "deobfuscation", 0.85, _context(text, m.start(), m.end())))
     first: dict[str, tuple] = {}
     for hit in out:
@@ -238,7 +249,7 @@ def _pages(batches):
         for url, html in zip(urls, pages, strict=True):
             try:
                 root = parse(html or "")
-                found = [(*h, False) for h in structured_hits(root)] or [(*h, True) for h in fallback_hits(root, html or "")]
+                found = [(*h, False) for h in (structured_hits(root) if has_at(html or "") else ())] or [(*h, True) for h in fallback_hits(root, html or "")]
                 row = root.text(" ").strip(), links(root, url or ""), found, None
             except (ValueError, AssertionError, RecursionError) as e:  # one broken page is set aside, not the job
                 row = None, [], [], repr(e)[:200]
