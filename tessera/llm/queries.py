@@ -87,20 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLE_SQL["op2_near_dedup"] = f"""
-with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as ws from documents),
-s as (select distinct doc_id, g from (select doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 2], ' ') end as g
-  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w where len(ws) > 0))),
-n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
-l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * common >= 85 * (nx.n + ny.n - common)),
-r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, l.y from r join l on l.x = r.c),
-m as (select doc_id, min(c) as c from r group by doc_id)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.c = d.doc_id as kept
-from documents d left join n using (doc_id) left join m using (doc_id)
-"""
 
 ORACLE_SQL["op5_substring_dedup"] = f"""
 with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
