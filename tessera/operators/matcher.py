@@ -78,22 +78,24 @@ def company_of_address(email: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(F.regexp_replace(label, "[-_]", " "), " "), lambda w: w != ""), S.capitalize), " ")
 
 
-def match_contacts(hits: DataFrame, page_text: str = "text", context: str = "context", title: str | None = None) -> DataFrame:
+def match_contacts(hits: DataFrame, page_text: str = "text", context: str = "context", title: str | None = None, markup: str | None = None) -> DataFrame:
     """Hits with ``name, phone, title, company`` filled in.
 
-    The text round the address comes first, then the labels of contact pages,
-    then what the address itself suggests; present values are kept.
+    The text round the address comes first, then what the page's markup gives it
+    (``markup``: a struct column of the four fields), then the labels of contact
+    pages, then what the address itself suggests; present values are kept.
     """
     near, page = F.col(context), F.col(page_text)
     contact_page = is_contact_page(F.col(title) if title else F.lit(None).cast("string"), page)
     labelled = {f: F.when(contact_page, label_in(page, f)) for f in LABELS}
     had = lambda c: F.nullif(F.col(c), F.lit("")) if c in hits.columns else F.lit(None).cast("string")
+    marked = lambda f: F.nullif(F.col(markup)[f], F.lit("")) if markup else F.lit(None).cast("string")
     email = F.col("email")
     return hits.withColumns(
         {
-            "name": F.coalesce(had("name"), F.get(names_in(near), F.lit(0)), labelled["name"], name_of_address(email)),
-            "phone": F.coalesce(had("phone"), F.get(phones_in(near), F.lit(0)), labelled["phone"]),
-            "title": F.coalesce(had("title"), labelled["title"]),
-            "company": F.coalesce(had("company"), labelled["company"], company_of_address(email)),
+            "name": F.coalesce(had("name"), F.get(names_in(near), F.lit(0)), marked("name"), labelled["name"], name_of_address(email)),
+            "phone": F.coalesce(had("phone"), F.get(phones_in(near), F.lit(0)), marked("phone"), labelled["phone"]),
+            "title": F.coalesce(had("title"), marked("title"), labelled["title"]),
+            "company": F.coalesce(had("company"), marked("company"), labelled["company"], company_of_address(email)),
         }
     )

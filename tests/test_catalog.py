@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalog
+from tessera.plans import catalog, fields  # noqa: F401
 
 
 def _plain(v):
