@@ -10,8 +10,10 @@ An edge of the graph is a window of ``k`` consecutive words, a node the
    has to move are close to the repeated ones alone.
 2. Edges are counted in Spark, with bit-and and bit-or over the edges seen
    before and after them: where the two differ, the node there branches.
-3. A Spark join brings counts and branches back to the edges' places, and each
-   text compacts its runs of repeated edges between branching nodes into paths.
+3. A Spark join brings branches back to the edges' places, and each text
+   compacts its runs of repeated edges between branching nodes into paths.  The
+   few edges that hold a large share of all places are joined by broadcast, so
+   that a passage of very many texts doesn't land in one task.
 4. Every path is checked at its source coordinates: its words' own 128-bit
    digest has to occur twice as well.  Texts with a path that fails (a hash
    collision) are done again without it.
@@ -37,6 +39,8 @@ from tessera.llm.common import stored, texts_of, unused
 
 MINIMIZER = 8
 WORDS = 35
+#: Edges with at least this part of all places are common; there can't be more than ``COMMON`` of them.
+COMMON = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -186,11 +190,16 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         found = found.join(found.groupBy("digest").agg(F.min("cid").alias("cid")).select("cid"), "cid", "left_semi")
 
     each = found.select("cid", "copies", F.explode(F.arrays_zip("pos", "edge", "near")).alias("x")).select("cid", "copies", F.col("x.pos").alias("pos"), F.col("x.edge").alias("edge"), F.col("x.near").alias("near"))
-    edges = each.groupBy("edge").agg(F.sum("copies").alias("n"), F.bit_and("near").alias("all"), F.bit_or("near").alias("any")).filter("n > 1")
+    edges = each.groupBy("edge").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.bit_and("near").alias("all"), F.bit_or("near").alias("any")).filter("n > 1")
     differ = F.col("all").bitwiseXOR(F.col("any"))
     flag = F.when(F.shiftrightunsigned(differ, 32) != 0, 1).otherwise(0) + F.when(differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0, 2).otherwise(0)
-    edges = edges.select("edge", flag.cast("byte").alias("flag"))
-    placed = each.select("cid", "pos", "edge").join(edges, "edge").groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
+    edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")))
+    most = edges.agg(F.sum("n")).first()[0] or 0
+    is_common = F.col("n") * COMMON >= most  # so at most COMMON rows are broadcast
+    common = F.broadcast(edges.filter(is_common).select("edge", "flag"))
+    places = each.select("cid", "pos", "edge")
+    others = places.join(common.select("edge"), "edge", "left_anti").join(edges.filter(~is_common).select("edge", "flag"), "edge")
+    placed = places.join(common, "edge").unionByName(others).groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
     rows = found.select("cid", "digest", "copies", "text").join(placed, "cid")
     done = stored(rows.withColumn("bad", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS))
 
