@@ -204,8 +204,8 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     done = stored(rows.withColumn("bad", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS))
 
     paths = done.select("cid", "copies", F.explode(F.arrays_zip("start", "path")).alias("x")).select("cid", "copies", F.col("x.start").alias("start"), F.col("x.path").alias("path"))
-    alone = paths.groupBy("path").agg(F.sum("copies").alias("n")).filter("n < 2").select("path")
-    bad = stored(paths.join(alone, "path").groupBy("cid").agg(F.collect_list("start").alias("bad")))
+    alone = paths.groupBy("path").agg(F.sum("copies").alias("n"), F.min("cid").alias("cid"), F.min("start").alias("start")).filter("n < 2")  # one place: its own
+    bad = stored(alone.groupBy("cid").agg(F.collect_list("start").alias("bad")))
     if bad.take(1):
         again = rows.join(bad, "cid").mapInArrow(_compact(k), _PATHS)
         done = done.join(bad.select("cid"), "cid", "left_anti").unionByName(again)
