@@ -2,8 +2,10 @@
 
 A fingerprint keeps every word-shingle hash below a fixed fraction of the hash
 range, so that sketches of any two texts can be merged, intersected and
-compared, however unequal their lengths.  Short texts keep all their hashes (a
-fraction of 1); two sketches are compared at the smaller of their fractions.
+compared, however unequal their lengths.  Texts of up to ``WHOLE`` distinct
+shingles keep all their hashes (a fraction of 1), so any thinned sketch still has
+about ``WHOLE / SCALE`` hashes or more; two sketches are compared at the smaller
+of their fractions.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import texts_of
 
 SHINGLE = 5
-SCALE = 16
-WHOLE = 64
+SCALE = 4
+WHOLE = 4096
 BUCKET = 4096
 _MOST = 2**63 - 1
 
@@ -23,23 +25,26 @@ _MOST = 2**63 - 1
 def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> Column:
     """``[denominator, hashes...]``: the sorted distinct kept hashes of a text's ``k``-word shingles.
 
-    The denominator is 1 for texts of up to ``whole`` shingles, which keep all,
-    and ``scale`` for others.  A text of fewer than ``k`` words is one shingle;
+    The denominator is 1 for texts of up to ``whole`` distinct shingles, which keep
+    all, and ``scale`` for others.  A text of fewer than ``k`` words is one shingle;
     one without words has none.  Null reads as empty.
     """
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
-    def build(h: Column) -> Column:
+    def shingles(h: Column) -> Column:
         count = F.size(h)
-        short = count - k + 1 <= whole
         every = F.transform(F.sequence(F.lit(0), F.greatest(count - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]).bitwiseAND(F.lit(_MOST)))
-        kept = F.filter(every, lambda x: (x < F.lit(_MOST // scale)) | short)
-        body = F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(kept)))
-        return F.concat(F.array(F.when(short, F.lit(1)).otherwise(F.lit(scale)).cast("bigint")), body)
+        return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(every))
+
+    def build(every: Column) -> Column:
+        few = F.size(every) <= whole
+        kept = F.when(few, every).otherwise(F.filter(every, lambda x: x < F.lit(_MOST // scale)))
+        return F.concat(F.array(F.when(few, F.lit(1)).otherwise(F.lit(scale)).cast("bigint")), F.sort_array(kept))
 
     # transform over a one-element array binds the hashes, so that they are worked out once
-    return F.get(F.transform(F.array(hashed), build), F.lit(0))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    return bound(bound(hashed, shingles), build)
 
 
 def _as_text(packed: Column) -> Column:
@@ -49,13 +54,13 @@ def _as_text(packed: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two packed sketches, 0 to 1.
 
-    Where neither keeps a hash at their common fraction, equal sketches count
-    as alike (1) and others as unlike (0).
+    Null where neither keeps a hash at their common fraction: such sketches say
+    nothing about their texts.
     """
     x, y = _common(a, b)
     both = F.size(F.array_intersect(x, y))
     union = F.size(x) + F.size(y) - both
-    return F.when(union == 0, (a == b).cast("double")).otherwise(both / union)
+    return F.when(union > 0, both / union)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -89,7 +94,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     The first follows the last.  Equal ids are ordered by a hash of the text;
     null ids come last.  Ids are dealt into buckets of ``BUCKET`` consecutive ids,
     each bucket gets a copy of the row that follows its last one, and a window
-    inside the buckets does the rest, so texts move once.
+    inside the buckets does the rest, so texts move once.  Sketches are made after
+    the texts have moved.
     """
     docs = texts_of(docs).withColumn("bucket", F.floor(F.col("doc_id") / BUCKET)).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
@@ -99,19 +105,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("head"))
     heads = heads.select((-F.col("head.d")).alias("doc_id"), F.col("head.text").alias("text"), "bucket", F.col("head.tie").alias("tie"), F.lit(1).alias("copy"))
-    rows = docs.withColumn("copy", F.lit(0)).unionByName(heads).withColumn("sketch", sketch(F.col("text")))
+    rows = docs.withColumn("copy", F.lit(0)).unionByName(heads).repartition("bucket").sortWithinPartitions("bucket", "copy", *order)
+    rows = rows.withColumn("sketch", sketch(F.col("text")))
     w = Window.partitionBy("bucket").orderBy("copy", *order)
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))
     return rows.filter("copy = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, and of it with its second half replaced by the next document's beginning."""
+    """Fingerprints of each text, and of it with its second half replaced by the next document's beginning.
+
+    Of texts whose sketches say nothing, equal ones count as alike (1) and others as unlike (0).
+    """
     rows = with_next(docs).withColumn("text", F.coalesce("text", F.lit("")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
+    rows = rows.select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
     rows = rows.select("*", sketch(F.col("edited")).alias("edited_sketch"))
     return rows.select(
         "doc_id",
@@ -119,6 +129,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         _as_text(F.col("sketch")).alias("fingerprint"),
         _as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.coalesce(likeness(F.col("sketch"), F.col("edited_sketch")), (F.col("text") == F.col("edited")).cast("double")).alias("near_edited"),
+        F.coalesce(likeness(F.col("sketch"), F.col("next_sketch")), (F.col("text") == F.col("next_text")).cast("double")).alias("near_next"),
     )

@@ -408,6 +408,28 @@ def test_likeness_estimates_jaccard_and_containment(spark):
     assert abs(x.j - 0.25) < 0.06 and x.c == 1 and x.m
 
 
+def test_near_scores_are_close_to_exact_jaccard(spark):
+    def shingles(text):
+        w = WORD.findall(text)
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    def jaccard(a, b):
+        x, y = shingles(a), shingles(b)
+        return len(x & y) / len(x | y) if x | y else float(a == b)
+
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    extra = [(-1, "x" * 9), (-2, ""), (-3, " "), (-4, "a b c " * 60)]  # ids of their own behind the table's
+    for docs in (table, spark.createDataFrame(extra, "doc_id long, text string")):
+        text = {r.doc_id: r.text or "" for r in docs.collect()}
+        order = sorted(text, reverse=True)
+        got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).select("doc_id", "near_edited", "near_next").collect()}
+        for a, b in zip(order, [*order[1:], order[0]], strict=True):
+            half = len(text[a]) // 2
+            edited = text[a][: len(text[a]) - half] + text[b][:half]
+            assert abs(got[a].near_edited - jaccard(text[a], edited)) < 0.06, a
+            assert abs(got[a].near_next - jaccard(text[a], text[b])) < 0.06, a
+
+
 # 9 quality rules
 
 
