@@ -2,9 +2,10 @@
 
 Each document's histograms of character classes and of common words are
 compared with those of every language by Jensen-Shannon distance; the
-references are sums over all documents of a language.  A document is judged
-against the language nearest to it.  Texts of fewer than ``MIN_WORDS`` words
-are too short for a histogram and pass the divergence rules.
+references are sums over all documents of a language, however few.  A document is
+judged against the language nearest to it; one whose own language has no
+reference (null or empty ``lang``) passes the divergence rules, as do texts of
+fewer than ``MIN_WORDS`` words, which are too short for a histogram.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import texts_of
 
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.42
-REFERENCE_SHARE = 0.005
+LANGUAGES = 10000
+_AT_ONCE = 16
 
 # Frequent function words of the languages that are told apart.
 COMMON = {
@@ -126,16 +127,30 @@ def _sums(batches):
 
 
 def references(docs: DataFrame) -> dict[str, list[int]]:
-    """Histogram sums of all documents of each language with at least ``REFERENCE_SHARE`` of all words.
+    """Histogram sums of all documents of each language that has a word.
 
-    At most ``1 / REFERENCE_SHARE`` languages reach the driver.
+    More than ``LANGUAGES`` of them are refused with an error, as all reach the driver.
     """
     sums = docs.select(F.col("lang").cast("string"), "text").mapInArrow(_sums, "lang string, bins array<long>")
     sums = sums.select("lang", F.posexplode("bins").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     by_lang = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum(F.when(F.col("bin") >= _CLASSES, F.col("n"))).alias("words"))
-    total = by_lang.agg(F.sum("words").alias("all"))
-    rows = by_lang.crossJoin(F.broadcast(total)).filter(F.col("words") >= F.greatest(F.col("all") * REFERENCE_SHARE, F.lit(1))).collect()  # `total` is one row
-    return {r.lang: [b.n for b in r.bins] for r in sorted(rows, key=lambda r: r.lang)}
+    rows = by_lang.filter("words > 0").select("lang", F.col("bins.n").alias("bins")).limit(LANGUAGES + 1).collect()
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
+    return {r.lang: list(r.bins) for r in sorted(rows, key=lambda r: r.lang)}
+
+
+def _nearest(hist: np.ndarray, chars: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row the reference nearest to it, and both distances from it; some references at once bound the memory."""
+    n = len(hist)
+    best, dc, dw = np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, np.inf)
+    for lo in range(0, len(chars), _AT_ONCE):
+        c, w = jensen_shannon(hist[:, :_CLASSES], chars[lo : lo + _AT_ONCE]), jensen_shannon(hist[:, _CLASSES:], words[lo : lo + _AT_ONCE])
+        at = (c + w).argmin(axis=1)
+        c, w = (d[np.arange(n), at] for d in (c, w))
+        nearer = c + w < dc + dw
+        best[nearer], dc[nearer], dw[nearer] = at[nearer] + lo, c[nearer], w[nearer]
+    return best, dc, dw
 
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, nearest string"
@@ -149,6 +164,7 @@ def _judge(refs: dict[str, list[int]], min_words: int, class_limit: float, word_
 
     def run(batches):
         for batch in batches:
+            own = np.array([x in refs for x in batch.column(2).to_pylist()], bool)
             cols = [[] for _ in range(10)]
             for block in V.blocks(batch.column(1)):
                 w = V.words(block)
@@ -159,14 +175,12 @@ def _judge(refs: dict[str, list[int]], min_words: int, class_limit: float, word_
                 failed = (n < 20) | (100 * rep > 30 * n)
                 hist = histograms(block, w)
                 if names:
-                    dc, dw = jensen_shannon(hist[:, :_CLASSES], chars), jensen_shannon(hist[:, _CLASSES:], words)
-                    best = (dc + dw).argmin(axis=1)
-                    dc, dw = (d[np.arange(len(n)), best] for d in (dc, dw))
+                    best, dc, dw = _nearest(hist, chars, words)
                     who = np.array(names, object)[best]
                 else:
                     dc = dw = np.zeros(len(n))
                     who = np.full(len(n), None, object)
-                kept = ~failed & ((n < min_words) | ((dc <= class_limit) & (dw <= word_limit)))
+                kept = ~failed & ((n < min_words) | ~own[block.lo : block.hi] | ((dc <= class_limit) & (dw <= word_limit)))
                 for c, x in zip(cols, (n, word_chars, symbols, dup, rep, failed, kept, dc, dw, who), strict=True):
                     c.append(x)
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
@@ -182,4 +196,5 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: floa
     Null and empty texts have no words and fail the base rule.  Without any
     language to refer to, only the base rule decides.
     """
-    return texts_of(docs).mapInArrow(_judge(references(docs), min_words, class_limit, word_limit), _OUT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.mapInArrow(_judge(references(docs), min_words, class_limit, word_limit), _OUT)

@@ -463,6 +463,27 @@ def test_quality_rules_keep_clean_texts(spark):
     assert out[out.quality == 1].kept.all() and not out[out.quality == 0].kept.all()
 
 
+def test_small_languages_have_references(spark, monkeypatch):
+    r = random.Random(6)
+    text = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(100))
+    rows = [(i, text("etaoinshrdlu"), "en") for i in range(400)]
+    rows += [(1000, text("оеаинтсрвл"), "ru"), (1001, text("оеаинтсрвл"), None), (1002, text("#$%&|<>"), "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality_rules.quality_rules(table).collect()}
+    assert got[0].kept and got[1000].kept and got[1000].nearest == "ru" and got[1001].kept and not got[1002].kept
+    alone = {x.doc_id: x.kept for x in quality_rules.quality_rules(table.filter("lang is null or doc_id < 400")).collect()}
+    assert alone[1001]  # a language without a reference
+    many = np.random.default_rng(1).integers(1, 9, (40, 9 + len(quality_rules._WORDS) + 1))
+    chars, words = (x / x.sum(axis=1, keepdims=True) for x in (many[:, :9], many[:, 9:]))
+    hist = np.array(r.choices(range(9), k=5 * many.shape[1])).reshape(5, -1)
+    best, dc, dw = quality_rules._nearest(hist, chars, words)
+    c, w = quality_rules.jensen_shannon(hist[:, :9], chars), quality_rules.jensen_shannon(hist[:, 9:], words)
+    assert (best == (c + w).argmin(axis=1)).all() and (dc + dw == (c + w).min(axis=1)).all()
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="lang"):
+        quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 # 10 languages
 
 
