@@ -40,6 +40,8 @@ _FIELDS = ("name", "title", "phone", "company")
 _EMAIL = re.compile(P.EMAIL)
 _NAMES, _PHONES = [re.compile(p) for p in M.NAMES], [re.compile(p) for p, _ in M.PHONES]
 _NAME_FIRST = re.compile(rf"({_ACADEMIC_TITLES})?\s*({_ACADEMIC_NAME})", re.I)
+# Reversed: words of a name, then an initial, the first name and the words of a title.
+_LEADING = re.compile(r"\s*(?:[a-z]{2,}\s+)*(?:\s*\.?[a-z]+){0,5}\s*", re.I)
 
 
 def _named(text: str) -> dict[str, str]:
@@ -157,22 +159,31 @@ def markup_fields(page: _Page) -> list[tuple]:
     return out
 
 
-def academic(text: str, email: str) -> tuple[str, str]:
-    """``(title, name)`` before the local part on its line, else behind it; empty if there is none.
+def _spans(text: str, user: str) -> list[tuple[int, int]]:
+    """Parts of a text that hold every match which ends in ``user``.
 
-    A name may begin on the line before, or stand on the one behind.
+    Each begins at the first line from which a title and a name lead up to the
+    user's line, and ends with the line's last user; parts that touch are one.
     """
-    user = re.escape(email.split("@")[0])
-    lines = [x for x in text.split("\n") if x.strip()]
-    test = re.compile(user, re.I)
-    at = [i for i, x in enumerate(lines) if test.search(x)]
-    before = re.compile(rf"{_NAME_FIRST.pattern}\s*.*?{user}", re.I)
-    behind = re.compile(rf"{user}\s*.*?{_NAME_FIRST.pattern}", re.I)
-    for pattern, cut in ((before, lambda i: lines[max(0, i - 1) : i + 1]), (behind, lambda i: lines[i : i + 2])):
-        for i in at:
-            if m := pattern.search("\n".join(cut(i))):
-                return (m[1] or "").strip(), m[2].strip()
-    return "", ""
+    back, line, out = text[::-1], -1, []
+    for m in re.finditer(f"(?={re.escape(user)})", text, re.I):
+        start, end = text.rfind("\n", 0, m.start()) + 1, m.start() + len(user)
+        if start != line:
+            line, lo = start, len(text) - _LEADING.match(back, len(text) - start).end()
+            while out and lo <= out[-1][1]:
+                lo = min(lo, out.pop()[0])
+            out.append((lo, end))
+        out[-1] = (out[-1][0], end)
+    return out
+
+
+def academic(text: str, email: str) -> tuple[str, str]:
+    """``(title, name)`` before the local part, else behind it, over any number of lines; empty if there is none."""
+    user = email.split("@")[0]
+    before = re.compile(rf"{_NAME_FIRST.pattern}\s*.*?{re.escape(user)}", re.I)
+    behind = re.compile(rf"{re.escape(user)}\s*.*?{_NAME_FIRST.pattern}", re.I)
+    m = next((m for lo, hi in _spans(text, user) if (m := before.search(text, lo, hi))), None) or behind.search(text)
+    return ((m[1] or "").strip(), m[2].strip()) if m else ("", "")
 
 
 def title_near(text: str, name: str) -> str:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,45 @@ def test_academic_on_a_long_line_ends():
     assert X.academic("lower case words " * 2000 + "\nada@x.edu", "ada@x.edu")[0] == ""
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Dean\nMary Stone\nq7@x.edu", ("Dean", "Mary Stone")),
+        ("Mary\nStone\nq7@x.edu", ("", "Mary\nStone")),
+        ("1\n  Prof.\n\n Dr.\n Mary\n J.\n Stone\n\n (q7@x.edu)", ("Prof.\n\n Dr.", "Mary\n J.\n Stone")),
+        ("q7\n@1.2\nDean\n\nMary\nStone", ("", "Dean\n\nMary\nStone")),
+    ],
+)
+def test_academic_over_several_lines(text, want):
+    assert X.academic(text, "q7@x.edu") == want
+
+
+def _whole(text, user):
+    """The first match in the whole text."""
+    name = X._NAME_FIRST.pattern
+    return re.search(rf"{name}\s*.*?{user}", text, re.I) or re.search(rf"{user}\s*.*?{name}", text, re.I)
+
+
+def test_academic_is_that_of_the_whole_text():
+    r = random.Random(8)
+    parts = ["Dean", "Prof.", "Dr.", "Mary", "Stone", "J.", "J", "1", ",", "q7", "q7@x.edu", "Associate", "Professor", "aq7", "x.y", "\u0131b"]
+    for _ in range(20000):
+        text = "".join(r.choice(parts) + r.choice([" ", "\n", " \n ", "\n\n", ""]) for _ in range(r.randint(1, 14)))
+        m = _whole(text, "q7")
+        assert X.academic(text, "q7@x.edu") == (((m[1] or "").strip(), m[2].strip()) if m else ("", "")), text
+
+
+def test_academic_on_long_texts_ends():
+    for text in ("lower case words " * 2000 + "a\n1 q7@x.edu", "lower case words. " * 2000 + "\n1 q7@x.edu", "q7@x.edu " + "lower case words " * 2000, "lower case\n" * 3000 + "1\nq7@x.edu"):
+        X.academic(text, "q7@x.edu")
+
+
+def test_staff_entries_over_several_lines(spark):
+    entry = "<li><i>Dean</i>\n  <i>Mary</i>\n  <i>Stone</i>\n  <i>q7@x.edu</i>\n</li>"
+    r = X.read_staff(_pages(spark, f'<ul class="staff">{entry}</ul>')).first()
+    assert (r.email, r.title, r.name) == ("q7@x.edu", "Dean", "Mary\n  Stone")
+
+
 def test_hidden(spark):
     html = "<p class='a sr-only'>A@x.com</p><p style='visibility: hidden'>a@x.com b@x.com</p><script>var email = 'c@x.com'; d = \"d\" + \"@\" + \"x.com\"</script>"
     got = [(r.email, r.method) for r in X.read_hidden(_pages(spark, html, None, "<p>e@x.com</p>")).orderBy("page_id", "ord").collect()]
