@@ -284,6 +284,14 @@ def crawl_levels(spark, sf_dir):
     return C.crawl_levels(edges, seeds, 3)
 
 
+@query("""with recursive e as (select distinct l_orderkey as src, l_partkey as dst from lineitem), b(node, depth) as (select min(src), 0 from e union select dst, depth + 1 from b join e on src = node where depth < 2) select cast(node as bigint) as node, cast(min(depth) as int) as depth from b where node is not null group by node""")
+def crawl_levels_whole(spark, sf_dir):
+    """Breadth-first levels over links made of every line item, from the first order."""
+    edges = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey as dst").distinct()
+    seeds = edges.agg(F.min("src").alias("node")).filter("node is not null")
+    return C.crawl_levels(edges, seeds, 3)
+
+
 @query()
 def page_contacts(spark, sf_dir):
     """Stored pages to scored contacts, one per page and address."""

@@ -37,3 +37,18 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_crawl_levels_over_every_line_item(spark, data):
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    links = {}
+    for r in rows:
+        links.setdefault(r.l_orderkey, set()).add(r.l_partkey)
+    seen = level = {min(links)}
+    want = dict.fromkeys(level, 0)
+    for depth in (1, 2):
+        level = set().union(*(links.get(x, set()) for x in level)) - seen
+        seen = seen | level
+        want |= dict.fromkeys(level, depth)
+    got = catalog.QUERIES["crawl_levels_whole"](spark, data).collect()
+    assert len(got) == len(want) and {r.node: r.depth for r in got} == want and max(want.values()) == 2
