@@ -343,7 +343,7 @@ def find(block: V.Block, field: Field) -> list[list[tuple[int, int, str]]]:
         at = off[i]
         lo = len(raw[at : start[a]].decode(errors="ignore"))
         hi = lo + len(raw[start[a] : end[z - 1]].decode(errors="ignore"))
-        if not any(x < hi and lo < y for x, y, k in out[i] if k != "crf"):
+        if not any(x <= lo and hi <= y for x, y, k in out[i] if k != "crf"):
             out[i].append((lo, hi, "crf"))
     return out
 

@@ -193,6 +193,18 @@ def test_secret_spans(docs, odd, empty):
     assert secrets_crf.scan(empty, secrets_crf.learn(empty)).count() == 0
 
 
+def test_a_key_around_a_base_span_is_found_whole():
+    class Every:
+        def decode(self, cell, to):
+            return [(i, i + 1) for i in range(int(to[-1]))]
+
+    inner, key = "0123456789abcdef01", "ZQ0123456789abcdef01XY"
+    texts = [f"é {key} end", f"é {inner} end"]
+    spans = [secrets_crf.find(b, Every()) for b in V.blocks(pa.array(texts))][0]
+    assert (2, 2 + len(key), "crf") in spans[0] and (4, 4 + len(inner), "hex") in spans[0]
+    assert (2, 2 + len(inner), "crf") not in spans[1] and (2, 2 + len(inner), "hex") in spans[1]
+
+
 def test_islands_decode_as_the_whole_sequence(docs):
     field = secrets_crf.learn(docs)
     r = np.random.default_rng(5)
