@@ -198,11 +198,13 @@ def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Identifie
     """Fit on about ``sample`` documents of each language among the ``learnable`` rows.
 
     Rows are chosen by a hash of their id against a share worked out from the
-    languages' counts; of these at most ``2 * sample`` are used.  The
-    ``LANGUAGES`` languages with the most rows are learned.
+    languages' counts; of these at most ``2 * sample`` are used.  Every
+    language is learned; more than ``LANGUAGES`` are refused with an error.
     """
     rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
     if not counts:
         return Identifier({})
     share = F.lit(0.0)

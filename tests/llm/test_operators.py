@@ -511,6 +511,15 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"} and langid.identify(empty, model).count() == 0
 
 
+def test_more_languages_than_can_be_learned_are_refused(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "ab cd", "en"), (2, "ef gh", "fr")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert sorted(langid.learn(table, F.lit(True)).names) == ["en", "fr"]
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="lang"):
+        langid.learn(table, F.lit(True))
+
+
 def test_character_model_is_a_distribution():
     r = np.random.default_rng(2)
     keys = r.integers(0, 6**3, 300)
