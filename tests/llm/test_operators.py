@@ -545,6 +545,60 @@ def test_pipeline(spark, data):
     assert out.select("doc_id").distinct().count() == before
 
 
+def test_pipeline_stages_give_the_rows_of_plain_versions(spark, data):
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    whole = lambda df: {r.doc_id: r.asDict() for r in df.collect()}
+
+    def step(name, docs, want):
+        out = spark.createDataFrame(stages[name](spark, docs, data).collect(), docs.schema)
+        assert out.count() == len(want) and whole(out) == want, name
+        return out
+
+    def with_text(row, text):
+        return row | {"text": text, "n_chars": row["n_chars"] if text is None else len(text)}
+
+    rows = whole(docs)
+    learnable = ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    scores = quality_cnn.score(docs, quality_cnn.learn(docs, spark.read.parquet(f"{data}/labels.parquet"), learnable)).collect()
+    docs = step("quality", docs, {r.doc_id: rows[r.doc_id] for r in scores if r.score >= 0.5})
+
+    rows = whole(docs)
+    least = groups([(i, r["text"]) for i, r in rows.items()], 5, 80)
+    docs = step("near_copies", docs, {i: r for i, r in rows.items() if least[i][1] == i})
+
+    rows = whole(docs)
+    words = {i: WORD.findall(r["text"] or "") for i, r in rows.items()}
+    seen = collections.Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    want = {}
+    for i, w in words.items():
+        gone = {x for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for x in range(j, j + 35)}
+        want[i] = with_text(rows[i], " ".join(x for j, x in enumerate(w) if j not in gone) if gone else rows[i]["text"])
+    docs = step("repeated_passages", docs, want)
+
+    rows = whole(docs)
+    want = {}
+    for r in secrets_crf.scan(docs, secrets_crf.learn(docs)).collect():
+        text = rows[r.doc_id]["text"]
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        covered = {j for _, a, z in spans for j in range(int(a), int(z))}
+        begins = {int(a) for _, a, _ in spans if int(a) - 1 not in covered or any(int(y) == int(a) for _, _, y in spans) and not any(int(x) < int(a) < int(y) for _, x, y in spans)}
+        want[r.doc_id] = with_text(rows[r.doc_id], text and "".join("[secret]" if j in begins else "" if j in covered else c for j, c in enumerate(text)))
+    docs = step("secrets", docs, want)
+
+    library, want = Tokenizer.from_file(bpe.vocabulary_path()), collections.Counter()
+    for i, r in whole(docs).items():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for a in range(0, len(ids), 1024):
+            part = np.array(ids[a : a + 1024], np.uint32)
+            want[i, a, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    got = stages["packing"](spark, docs, data).collect()
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, data, odd, empty):
     pipeline = pytest.importorskip("corpus_pipeline")
     for table in (odd, empty):
