@@ -232,17 +232,17 @@ class Codec:
         return self.encode_block(next(V.blocks(pa.array([text]))))[0]
 
     def _plain(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = raw.decode()
-        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cps = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        data = np.frombuffer(raw, np.uint8)
         if not len(cps):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        if len(cps) != len(raw):
-            lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-            off = lead[off]
-        start = piece_starts(cps, off[:-1][np.diff(off) > 0])
-        with np.errstate(over="ignore"):
-            h = V.mix(V.segment_hash(_MARK[cps & 4095] ^ (cps >> np.uint32(12)).astype(np.uint64) * _ODD, start))
-        return self.pieces.ids(h, start, text, np.searchsorted(start, off))
+        begin = off[:-1][np.diff(off) > 0]
+        if len(cps) == len(raw):
+            start = piece_starts(cps, begin)
+        else:
+            lead = np.flatnonzero((data & 0xC0) != 0x80)  # the byte that each code point begins at
+            start = lead[piece_starts(cps, np.searchsorted(lead, begin))]
+        return self.pieces.ids(data, start, np.searchsorted(start, off))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of many ids, by the offset table."""
@@ -255,16 +255,32 @@ class Codec:
         return self.offsets[ids.astype(np.int64) + 1] - self.offsets[ids]
 
 
-_MARK = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = np.uint64(0xD6E8FEB86659FD93)
 _SLOTS = 1 << 20
 
 
+class _Pool:
+    """Arrays of any lengths, one after another in one that grows."""
+
+    def __init__(self, kind, size: int):
+        self.data, self.start, self.n = np.zeros(size, kind), np.zeros(REMEMBERED + 1, np.int64), 0
+
+    def add(self, values) -> None:
+        a = int(self.start[self.n])
+        z = a + len(values)
+        if z > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), self.data.dtype)])
+        self.data[a:z] = values
+        self.n += 1
+        self.start[self.n] = z
+
+
 class _Pieces:
     """The ids of the pieces seen, found by a 64-bit hash; forgets everything when it is full.
 
     Each hash has a slot in either of two arrays, so that the lookup of a whole
-    block is a few array operations; ``row`` keeps what has lost its slot.
+    block is a few array operations; ``row`` keeps what has lost its slot.  The
+    bytes of every piece found are compared with those remembered; one that
+    only shares the hash is encoded for itself.
     """
 
     def __init__(self, encode_piece):
@@ -275,8 +291,7 @@ class _Pieces:
         self.key = np.zeros((2, _SLOTS), np.uint64)
         self.at = np.zeros((2, _SLOTS), np.int32)
         self.row: dict[int, int] = {}
-        self.start = np.zeros(REMEMBERED + 1, np.int64)
-        self.pool = np.zeros(4 * REMEMBERED, np.uint32)
+        self.tokens, self.bytes = _Pool(np.uint32, 4 * REMEMBERED), _Pool(np.uint8, 8 * REMEMBERED)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -286,45 +301,48 @@ class _Pieces:
         out[rest] = np.where(self.key[1][slot] == h[rest], self.at[1][slot], -1)
         return out
 
-    def ids(self, h: np.ndarray, start: np.ndarray, text: str, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = self.find(h)
+    def ids(self, data: np.ndarray, start: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that begin at ``start``, and of each text's first and last."""
+        end = np.append(start[1:], len(data))
+        h = V.segment_hash(data, start, end)
+        row = self.find(h).astype(np.int64)
         lost = np.flatnonzero(row < 0)
-        extra, extra_n = [], []
+        extra: list[list[int]] = []  # ids of pieces that aren't remembered
         if len(lost):
             new, first, inverse = np.unique(h[lost], return_index=True, return_inverse=True)
             if len(self.row) + len(new) > REMEMBERED and self.row:
                 self.forget()
-                return self.ids(h, start, text, off)
-            rows = np.empty(len(new), np.int64)
-            end = np.append(start[1:], len(text))
+                return self.ids(data, start, off)
+            rows = np.full(len(new), -1, np.int64)
             known = self.row
             for i, (x, at) in enumerate(zip(new.tolist(), lost[first].tolist(), strict=True)):
                 r = known.get(x)
-                if r is None:
-                    ids = self.encode_piece(text[start[at] : end[at]].encode())
-                    r = len(known)
-                    if r >= REMEMBERED:  # one block holds more new pieces than are remembered
-                        r = REMEMBERED + len(extra)
-                        extra.append(ids)
-                    else:
-                        known[x] = r
-                        a = int(self.start[r])
-                        self.start[r + 1] = a + len(ids)
-                        if a + len(ids) > len(self.pool):
-                            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-                        self.pool[a : a + len(ids)] = ids
-                rows[i] = r
-            keep = rows < REMEMBERED
+                if r is None and len(known) < REMEMBERED:
+                    piece = data[start[at] : end[at]]
+                    self.tokens.add(self.encode_piece(piece.tobytes()))
+                    self.bytes.add(piece)
+                    r = known[x] = len(known)
+                if r is not None:  # else one block holds more new pieces than are remembered
+                    rows[i] = r
+            keep = rows >= 0
             slot = (new & np.uint64(_SLOTS - 1)).astype(np.int64)
             taken = (self.key[0][slot] != 0).astype(np.int64)
             self.key[taken[keep], slot[keep]] = new[keep]
             self.at[taken[keep], slot[keep]] = rows[keep]
             row[lost] = rows[inverse]
-        begin, pool = self.start, self.pool
-        if extra:
-            extra_n = np.array([len(x) for x in extra])
-            pool = np.concatenate([pool[: begin[REMEMBERED]], np.concatenate([np.array(x, np.uint32) for x in extra])])
-            begin = np.concatenate([begin, begin[REMEMBERED] + np.cumsum(extra_n)])
+        size = end - start
+        there = np.flatnonzero(row >= 0)
+        begin = self.bytes.start[row[there]]
+        same = self.bytes.start[row[there] + 1] - begin == size[there]
+        same[same] = V.equal_segments(data, start[there[same]], self.bytes.data[: self.bytes.start[self.bytes.n]], begin[same], size[there[same]])
+        row[there[~same]] = -1
+        alone = np.flatnonzero(row < 0)
+        begin, pool = self.tokens.start[: self.tokens.n + 1], self.tokens.data
+        if len(alone):
+            extra = [self.encode_piece(data[start[i] : end[i]].tobytes()) for i in alone.tolist()]
+            pool = np.concatenate([pool[: begin[-1]], np.array(list(itertools.chain.from_iterable(extra)), np.uint32)])
+            row[alone] = self.tokens.n + np.arange(len(extra))
+            begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in extra])])
         a = begin[row]
         n = begin[row + 1] - a
         to = np.concatenate([[0], np.cumsum(n)])

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with at least this part of all rows are common; there can't be more than ``COMMON`` of them.
+COMMON = 4096
+
 _local: dict[str, str] = {}
 
 
@@ -52,6 +55,25 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """Every column by its name, whatever characters that has."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of many rows a key with a stored ``table`` of one row a key.
+
+    ``weight`` counts the rows of each key.  Rows of common keys (see
+    ``COMMON``) stay where they are and meet these few keys by broadcast, so that no
+    task gets all rows of one key; the others are joined as usual.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_common = F.col(weight) * COMMON >= total
+    common = F.broadcast(table.filter(is_common))  # at most COMMON rows
+    others = rows.join(common.select(key), key, "left_anti").join(table.filter(~is_common), key)
+    return rows.join(common, key).unionByName(others)
+
+
 def unused(name: str, docs: DataFrame) -> str:
     """A column name that ``docs`` doesn't have."""
     taken = {c.lower() for c in docs.columns}

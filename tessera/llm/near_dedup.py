@@ -10,12 +10,19 @@
    pairs more than six standard deviations under the threshold go, the rest
    is confirmed on full sets.
 4. Buckets that still hold more than one component get more hubs, and are then
-   finished exactly: their members are compared in blocks, and only pairs of
-   different components that pass the estimate are confirmed, on their full
-   sets, where they stand; only links leave the task.
+   finished exactly: the members outside a bucket's largest component meet all
+   members in blocks, and only pairs of different components that pass the
+   estimate are confirmed, on their full sets, where they stand; only links
+   leave the task.
+
+Rows of buckets and pairs of hubs that hold a large share of all are not brought
+together by key: common buckets are joined by broadcast, and the sets of common
+hubs are dealt out in several copies.
 
 Empty and null texts have an empty set and are linked with nothing, as are rows
-without a ``doc_id`` (their component is null and they are kept).
+without a ``doc_id`` (their component is null and they are kept).  Equal texts
+are one class, whatever their ids; of equal ids with equal texts one row stays.  A
+text of any length is one row of a task.
 """
 
 from __future__ import annotations
@@ -30,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import components, stored
+from tessera.llm.common import columns, components, split_join, stored
 
 PERMUTATIONS = 128
 BITS = 2
 MISS = 1e-6
 SIGMAS = 6
-BLOCK = 1000
+BLOCK = 1000  # members and
+BLOCK_SHINGLES = 1 << 20  # shingles of a block, on average
 HUBS = 6
 
 _r = np.random.Generator(np.random.PCG64(77))
@@ -82,7 +90,6 @@ def minima(s: np.ndarray) -> np.ndarray:
 def _signatures(k: int, rows: int):
     per = PERMUTATIONS // rows
     lane = (np.arange(32, dtype=np.uint64) * np.uint64(BITS))[None, :]
-    power = V._POW[1 : rows + 1][None, :]
 
     def run(batches):
         for batch in batches:
@@ -97,7 +104,10 @@ def _signatures(k: int, rows: int):
                     ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append(np.bitwise_or.reduce((m & np.uint32(3)).astype(np.uint64).reshape(-1, 32) << lane, axis=1).view(np.int64))
                     whole = m[: per * rows].astype(np.uint64).reshape(per, rows)
-                    bands.append(V.mix((whole * power).sum(axis=1, dtype=np.uint64) + np.arange(per, dtype=np.uint64)).view(np.int64))
+                    key = np.arange(per, dtype=np.uint64)
+                    for j in range(rows):
+                        key = V.join(key, whole[:, j])
+                    bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_id", "sig", "bands"],
@@ -125,9 +135,11 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def _blockwise(percent: int, least: float):
-    """Links between different components in one bucket's block pair, confirmed on full sets.
+    """Links between different components in one block of a bucket, confirmed on full sets.
 
-    Members of several common buckets meet in the first of them only.
+    Rows of ``side`` 0 are outside the bucket's largest component and meet those of
+    ``side`` 1, which are of any.  Members of several common buckets meet in the
+    first of them only.
     """
 
     def matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -135,9 +147,9 @@ def _blockwise(percent: int, least: float):
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         sig, bands = matrix(table, "sig").view(np.uint64), matrix(table, "bands")
-        rep, comp, n = (table.column(x).to_numpy() for x in ("rep", "c", "n"))
+        rep, comp, n, largest = (table.column(x).to_numpy() for x in ("rep", "c", "n", "largest"))
         key = table.column("key")[0].as_py()
         sets = table.column("s").combine_chunks()
         value, off = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False))])
@@ -146,12 +158,11 @@ def _blockwise(percent: int, least: float):
             d = sig[right] ^ sig[x]
             d = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_LANES)).sum(axis=1, dtype=np.int64)
             est = (1 - d / PERMUTATIONS - 0.5**BITS) / (1 - 0.5**BITS)
-            y = right[(est >= least) & (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            once = (comp[right] == largest[right]) | (rep[right] > rep[x])  # two outside the largest meet twice
+            y = right[(est >= least) & once & (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             if len(y):
                 shared = bands[y] == bands[x]
                 y = y[bands[x][shared.argmax(axis=1)] == key]
-            if side[x] == 0:
-                y = y[y > x]  # inside one block each pair once
             for at in range(0, len(y), 64):
                 part = y[at : at + 64]
                 own = value[off[x] : off[x + 1]]
@@ -167,6 +178,20 @@ def _blockwise(percent: int, least: float):
     return run
 
 
+def _in_blocks(left: DataFrame) -> DataFrame:
+    """Deal members of mixed buckets into cells ``key, i, j``: block ``i`` of all members, ``j`` of those outside the largest component."""
+    each = left.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    bucket = each.groupBy("key").agg(F.max(F.struct("k", "c", "s")).alias("top"), F.sum("k").alias("members"), F.sum("s").alias("shingles"))
+    parts = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    bucket = bucket.select("key", "members", F.col("top.c").alias("largest"), parts(F.col("members"), F.col("shingles")).alias("all"), parts(F.col("members") - F.col("top.k"), F.col("shingles") - F.col("top.s")).alias("rest"))
+    rows = split_join(left, stored(bucket), "key", "members")
+    block = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = rows.withColumn("side", F.lit(1)).withColumn("i", block(1, "all")).withColumn("j", every("rest"))
+    outside = rows.filter("c != largest").withColumn("side", F.lit(0)).withColumn("j", block(2, "rest")).withColumn("i", every("all"))
+    return right.unionByName(outside).select("key", "rep", "n", "c", "largest", "side", "i", "j")
+
+
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links between nodes."""
     if not links.take(1):
@@ -186,7 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     of ``shingle``-word shingles.  ``component_id`` is the smallest id
     reachable over links; ``kept`` marks the row that stays.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, least = band_rows(percent / 100), least_estimate(percent / 100)
     sig = stored(docs.mapInArrow(_signatures(shingle, rows), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
     sets_of = sig.filter("set_id is not null and doc_id is not null")
@@ -195,29 +221,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     band = reps.select("rep", "n", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
-    hubs = band.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("h1"), F.max(order).alias("h2")).filter("m > 1")
-    members = stored(band.join(hubs, "key"))
+    hubs = stored(band.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("h1"), F.max(order).alias("h2")).filter("m > 1"))
+    members = stored(split_join(band, hubs, "key", "m"))
 
     sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = members.select("rep", "n", F.explode(F.array("h1", "h2")).alias("hub")).filter("rep != hub.rep")
     near = near.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
     near = near.filter(sizes).select("a", "b").distinct()
-    sigs = reps.select("rep", "sig")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-        return both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
-
+    sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
 
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, s array<long>"))
+    deal = max(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
+        """Pairs that the signatures let pass and the full sets confirm."""
+        pairs = stored(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+        share = max(1, 2 * pairs.count() // deal)
+        hot = F.broadcast(stored(ends.filter(F.col("pairs") > share).select("id", F.ceil(F.col("pairs") / share).cast("int").alias("slots"))))  # at most `deal` rows
+
+        def with_own(pairs: DataFrame, side: str, table: DataFrame, name: str) -> DataFrame:
+            salted = pairs.join(hot.withColumnRenamed("id", side), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("slots", F.lit(1))).cast("int")).drop("slots")
+            own = table.toDF(side, name).join(hot.withColumnRenamed("id", side), side, "left")
+            own = own.select(side, name, F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("salt"))
+            return salted.join(own, [side, "salt"]).drop("salt")
+
+        both = with_own(with_own(pairs, "a", sigs, "sa"), "b", sigs, "sb")
+        both = both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+        both = with_own(with_own(both, "a", full, "xa"), "b", full, "xb")
         both = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
         return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
-    comps = stored(components(confirmed(likely(near))))
+    comps = stored(components(confirmed(near)))
 
     def opened(comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components; those of up to three members have been compared in full."""
@@ -227,16 +263,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # More hubs for the buckets that are still mixed: a member meets only hubs of other components.
     left = opened(comps)
-    hubs = left.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "c")).alias(f"h{j}") for j in range(HUBS)])
-    met = left.join(hubs, "key").select("rep", "n", F.explode(F.filter(F.array(*[f"h{j}" for j in range(HUBS)]), lambda h: h["c"] != F.col("c"))).alias("hub"))
+    hubs = left.groupBy("key").agg(F.count("*").alias("members"), *[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "c")).alias(f"h{j}") for j in range(HUBS)])
+    met = split_join(left, stored(hubs), "key", "members").select("rep", "n", F.explode(F.filter(F.array(*[f"h{j}" for j in range(HUBS)]), lambda h: h["c"] != F.col("c"))).alias("hub"))
     met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-    comps = _joined(comps, stored(confirmed(likely(met.filter(sizes).select("a", "b").distinct()))))
+    comps = _joined(comps, stored(confirmed(met.filter(sizes).select("a", "b").distinct())))
 
-    left = opened(comps).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = left.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    left = left.select("key", "rep", "n", "c", "sig", "bands", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
-    comps = _joined(comps, stored(left.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct()))
+    cells = _in_blocks(opened(comps).select("key", "rep", "n", "c")).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
+    comps = _joined(comps, stored(cells.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct()))
 
     out = sig.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left")
     out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -254,7 +287,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     found = stored(near_duplicates(docs, shingle, percent).select("doc_id", "kept"))
     gone = found.filter("not kept").select("doc_id").distinct()
     n, distinct = found.filter("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
     if n == distinct:
         return out
     named = out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])

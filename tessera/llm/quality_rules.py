@@ -61,9 +61,7 @@ def histograms(block: V.Block, w: V.Words) -> np.ndarray:
     rows = block.hi - block.lo
     owner = np.repeat(np.arange(rows), np.diff(block.off))
     chars = np.bincount(owner * 10 + _CLASS[block.data], minlength=rows * 10).reshape(rows, 10)[:, :_CLASSES]
-    lower = V.segment_hash(V._LOWER[block.data], w.start) if len(w.start) else w.hash
-    with np.errstate(over="ignore"):
-        lower = V.mix(lower ^ ((w.end - w.start).astype(np.uint64) << np.uint64(56)))
+    lower = V.segment_hash(V.folded(block.data), w.start, w.end) if len(w.start) else w.hash
     at = np.minimum(np.searchsorted(_HASH, lower), len(_HASH) - 1)
     kind = np.where(_HASH[at] == lower, _INDEX[at], len(_WORDS))
     owner = np.repeat(np.arange(rows), np.diff(w.off))
@@ -93,9 +91,8 @@ def repeats(block: V.Block, w: V.Words, span: int = 8) -> tuple[np.ndarray, np.n
     lines = lines[lines < len(data)]
     dup = np.zeros(rows, np.int64)
     if len(lines):
-        table = V._BYTE.copy()
-        table[10] = 0
-        h = V.segment_hash(table[data], lines)
+        end = np.append(lines[1:], len(data))
+        h = V.segment_hash(data, lines, end - (data[end - 1] == 10))
         with_word = np.diff(np.searchsorted(w.start, np.append(lines, len(data)))) > 0
         owner = np.searchsorted(block.off, lines, "right") - 1
         h, owner = own(h, owner)[with_word], owner[with_word]

@@ -127,12 +127,10 @@ def tokens(block: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     before = np.where(data[np.maximum(start - 1, 0)] == 61, 2, gap)
     named = np.zeros(len(start), bool)
     short = np.flatnonzero(size <= 17)
-    with np.errstate(over="ignore"):
-        body = np.where(inside & ((data != 61)), V._LOWER[data], 0)
-        plain = size - (data[end - 1] == 61)
-        h = V.mix(V.segment_hash(body, start) ^ (plain.astype(np.uint64) << np.uint64(56)))
-    at = np.minimum(np.searchsorted(_ANNOUNCE, h[short]), len(_ANNOUNCE) - 1)
-    named[short] = _ANNOUNCE[at] == h[short]
+    plain = end[short] - (data[end[short] - 1] == 61)
+    h = V.segment_hash(V.folded(data), start[short], np.maximum(plain, start[short]))
+    at = np.minimum(np.searchsorted(_ANNOUNCE, h), len(_ANNOUNCE) - 1)
+    named[short] = _ANNOUNCE[at] == h
     one = np.concatenate([[False], named[:-1]])
     two = np.concatenate([[False, False], named[:-2]])[: len(start)]
     begin = off[:-1][np.diff(off) > 0]

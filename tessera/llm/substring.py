@@ -11,21 +11,25 @@ An edge of the graph is a window of ``k`` consecutive words, a node the
 2. Edges are counted in Spark, with bit-and and bit-or over the edges seen
    before and after them: where the two differ, the node there branches.
 3. A Spark join brings branches back to the edges' places, and each text
-   compacts its runs of repeated edges between branching nodes into paths.  The
-   few edges that hold a large share of all places are joined by broadcast, so
-   that a passage of very many texts doesn't land in one task.
+   compacts its runs of repeated edges between branching nodes into paths.
 4. Every path is checked at its source coordinates: its words' own 128-bit
-   digest has to occur twice as well.  Texts with a path that fails (a hash
-   collision) are done again without it.
+   digest has to occur twice as well.  The windows of a path that fails (a hash
+   collision in it, or one that hid a branch) are checked one by one instead,
+   and its text is done again without those that occur only once.
+
+Rows of minimizers or edges that hold a large share of all rows are joined by
+broadcast (``common.split_join``).
 
 Null texts read as empty; texts with fewer than ``k`` words lose nothing; a
 class of several equal texts with ``k`` words or more loses every word.
-Repeated rows, also with an equal id, count as separate occurrences.
+Repeated rows, also with an equal id, count as separate occurrences.  A text of
+any length is one row of a task, which needs some 60 bytes of memory a byte of it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textvec as V
-from tessera.llm.common import stored, texts_of, unused
+from tessera.llm.common import columns, split_join, stored, texts_of, unused
 
 MINIMIZER = 8
 WORDS = 35
-#: Edges with at least this part of all places are common; there can't be more than ``COMMON`` of them.
-COMMON = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -54,8 +56,13 @@ def _window_minima(h: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (span - size)], x[span - size :]) if len(x) > span - size else x[:0]
 
 
-def _digest(w: V.Words, i: int) -> bytes:
-    return xxhash.xxh3_128_digest(w.hash[w.off[i] : w.off[i + 1]].tobytes())
+def _digest(words: bytes) -> bytes:
+    """128 bits for a text's words, joined by one blank."""
+    return xxhash.xxh3_128_digest(words)
+
+
+def _joined(text: bytes) -> bytes:
+    return b" ".join(text.split())
 
 
 def _sha(data: bytes) -> str:
@@ -76,9 +83,10 @@ def _profile(k: int):
                 raw = block.data.tobytes()
                 for i in range(block.hi - block.lo):
                     a, z = w.off[i], w.off[i + 1]
-                    ids.append(_digest(w, i))
+                    plain = _joined(raw[block.off[i] : block.off[i + 1]])
+                    ids.append(_digest(plain))
                     n.append(int(z - a))
-                    sha.append(_sha(b" ".join(raw[block.off[i] : block.off[i + 1]].split())))
+                    sha.append(_sha(plain))
                     own = low[a : max(a, z - k + 1)]
                     value = np.unique(own[np.flatnonzero(np.diff(own, prepend=~own[:1]))]) if len(own) else own
                     count = np.zeros(len(value), np.int64)
@@ -96,8 +104,9 @@ def _profile(k: int):
     return run
 
 
-def _edges(k: int):
+def _edges(k: int, bits: int):
     """Per class: its windows with a repeated minimizer, and the windows before and after each."""
+    used = np.uint64((1 << bits) - 1)
 
     def run(batches):
         for batch in batches:
@@ -105,10 +114,11 @@ def _edges(k: int):
             want, lists = batch.column(1), batch.column(2)
             for block in V.blocks(batch.column(0)):
                 w = V.words(block)
-                low, win = _window_minima(w.hash, k), V.windows(w.hash, k)
+                low, win = _window_minima(w.hash, k), V.windows(w.hash, k) & used
+                raw = block.data.tobytes()
                 for i in range(block.hi - block.lo):
                     row = block.lo + i
-                    if _digest(w, i) != want[row].as_py():  # another text under the same id
+                    if _digest(_joined(raw[block.off[i] : block.off[i + 1]])) != want[row].as_py():  # another text under the same id
                         continue
                     a, z = w.off[i], w.off[i + 1] - k + 1
                     at = np.flatnonzero(np.isin(low[a:z], lists[row].values.to_numpy(zero_copy_only=False).view(np.uint64)))
@@ -134,25 +144,25 @@ _PATHS = "cid long, digest binary, copies long, n_removed long, kept string, sha
 def _compact(k: int):
     """Per class: paths of repeated edges between branching nodes, and the text without them.
 
-    ``bad`` lists starts of paths that didn't hold up against the sources.
+    ``drop`` lists places of edges that didn't hold up against the sources.
     """
 
     def run(batches):
         for batch in batches:
             out = {x: [] for x in ("n", "kept", "sha", "start", "size", "path")}
-            places, flags, bad = (batch.column(i) for i in (4, 5, 6))
+            places, flags, drop = (batch.column(i) for i in (4, 5, 6))
             for row in range(batch.num_rows):
                 words = (batch.column(3)[row].as_py() or "").encode().split()
                 pos = places[row].values.to_numpy(zero_copy_only=False)
                 order = np.argsort(pos, kind="stable")
                 pos, flag = pos[order].astype(np.int64), flags[row].values.to_numpy(zero_copy_only=False)[order]
+                if drop[row].is_valid:
+                    good = ~np.isin(pos, drop[row].values.to_numpy(zero_copy_only=False))
+                    pos, flag = pos[good], flag[good]
                 cut = np.ones(len(pos), bool)  # a path starts: a gap, or the node before branches
                 cut[1:] = (np.diff(pos) > 1) | (flag[1:] & 1 > 0) | (flag[:-1] & 2 > 0)
                 first = np.flatnonzero(cut)
                 start, size = pos[first], np.diff(first, append=len(pos)) + k - 1
-                if bad[row].is_valid and len(bad[row].values):
-                    ok = ~np.isin(start, bad[row].values.to_numpy(zero_copy_only=False))
-                    start, size = start[ok], size[ok]
                 step = np.zeros(len(words) + 1, np.int32)
                 np.add.at(step, start, 1)
                 np.add.at(step, start + size, -1)
@@ -172,18 +182,48 @@ def _compact(k: int):
     return run
 
 
-def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _windows_at(k: int):
+    """The words' own digests of some windows of each class."""
+
+    def run(batches):
+        for batch in batches:
+            cid, pos, path = [], [], []
+            for row in range(batch.num_rows):
+                words = (batch.column(1)[row].as_py() or "").encode().split()
+                for at in batch.column(2)[row].as_py():
+                    cid.append(row)
+                    pos.append(at)
+                    path.append(_digest(b" ".join(words[at : at + k])))
+            take = pa.array(cid, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(3).take(take), pa.array(pos, pa.int32()), pa.array(path, pa.binary())], names=["cid", "copies", "pos", "path"])
+
+    return run
+
+
+def _single(bad: DataFrame, each: DataFrame, edges: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``cid, drop``: of the edges of paths that failed, the places whose own words occur only once."""
+    inside = each.join(bad, "cid").filter(f"pos >= start and pos <= start + size - {k}").select("cid", "pos", "edge")
+    inside = stored(inside.join(edges.select("edge"), "edge", "left_semi"))
+    places = each.join(inside.select("edge").distinct(), "edge", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("at"))
+    windows = found.select("cid", "text", "copies").join(places, "cid").select("cid", "text", "at", "copies")
+    windows = stored(windows.mapInArrow(_windows_at(k), "cid long, copies long, pos int, path binary"))
+    twice = windows.groupBy("path").agg(F.sum("copies").alias("n")).filter("n > 1").select("path")
+    good = windows.join(twice, "path", "left_semi").select("cid", "pos")
+    return inside.join(good, ["cid", "pos"], "left_anti").groupBy("cid").agg(F.collect_list("pos").alias("drop"))
+
+
+def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(profile, cleaned)``: a row per text, and a row per class that loses words."""
     profile = stored(texts_of(docs).mapInArrow(_profile(k), "doc_id long, digest binary, n_words long, sha string, mins array<long>, weight array<byte>"))
     classes = profile.filter(F.col("n_words") >= k).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("weight").alias("weight"))
     classes = stored(classes)
     listed = classes.select("digest", F.explode(F.arrays_zip("mins", "weight")).alias("x")).select("digest", F.col("x.mins").alias("h"), F.col("x.weight").alias("weight"))
-    twice = listed.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
-    flagged = listed.select("digest", "h").join(twice, "h").groupBy("digest").agg(F.collect_list("h").alias("hs"))
+    twice = stored(listed.groupBy("h").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("h", "rows"))
+    flagged = split_join(listed.select("digest", "h"), twice, "h", "rows").groupBy("digest").agg(F.collect_list("h").alias("hs"))
     flagged = flagged.join(classes.select("digest", "copies", "rep"), "digest")
 
     sources = texts_of(docs).join(flagged, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "hs", "copies")
-    found = sources.mapInArrow(_edges(k), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
+    found = sources.mapInArrow(_edges(k, bits), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
     found = stored(found.withColumn("cid", F.monotonically_increasing_id()))
     n, distinct = found.agg(F.count("*"), F.count_distinct("digest")).first()
     if n != distinct:  # equal rows under an equal id: one of them stands for the class
@@ -194,34 +234,31 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     differ = F.col("all").bitwiseXOR(F.col("any"))
     flag = F.when(F.shiftrightunsigned(differ, 32) != 0, 1).otherwise(0) + F.when(differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0, 2).otherwise(0)
     edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")))
-    most = edges.agg(F.sum("n")).first()[0] or 0
-    is_common = F.col("n") * COMMON >= most  # so at most COMMON rows are broadcast
-    common = F.broadcast(edges.filter(is_common).select("edge", "flag"))
-    places = each.select("cid", "pos", "edge")
-    others = places.join(common.select("edge"), "edge", "left_anti").join(edges.filter(~is_common).select("edge", "flag"), "edge")
-    placed = places.join(common, "edge").unionByName(others).groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
+    placed = split_join(each.select("cid", "pos", "edge"), edges, "edge", "n").groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
     rows = found.select("cid", "digest", "copies", "text").join(placed, "cid")
-    done = stored(rows.withColumn("bad", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS))
+    done = stored(rows.withColumn("drop", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS))
 
-    paths = done.select("cid", "copies", F.explode(F.arrays_zip("start", "path")).alias("x")).select("cid", "copies", F.col("x.start").alias("start"), F.col("x.path").alias("path"))
-    alone = paths.groupBy("path").agg(F.sum("copies").alias("n"), F.min("cid").alias("cid"), F.min("start").alias("start")).filter("n < 2")  # one place: its own
-    bad = stored(alone.groupBy("cid").agg(F.collect_list("start").alias("bad")))
+    paths = done.select("cid", "copies", F.explode(F.arrays_zip("start", "size", "path")).alias("x")).select("cid", "copies", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.col("x.path").alias("path"))
+    alone = paths.groupBy("path").agg(F.sum("copies").alias("n"), F.min("cid").alias("cid"), F.min("start").alias("start"), F.min("size").alias("size")).filter("n < 2")  # one place: its own
+    bad = stored(alone.select("cid", "start", "size"))
     if bad.take(1):
-        again = rows.join(bad, "cid").mapInArrow(_compact(k), _PATHS)
-        done = done.join(bad.select("cid"), "cid", "left_anti").unionByName(again)
+        drop = stored(_single(bad, each, edges, found, k))
+        again = rows.join(drop, "cid").mapInArrow(_compact(k), _PATHS)
+        done = stored(done.join(drop.select("cid"), "cid", "left_anti").unionByName(again))
     whole = classes.filter("copies > 1").select("digest", F.lit(True).alias("whole"))
     cleaned = done.select("digest", "n_removed", "kept", "sha", "start", "size", "path").join(whole, "digest", "full_outer")
     return profile, cleaned
 
 
-def repeated_passages(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = WORDS, bits: int = 64) -> DataFrame:
     """One row per text: ``doc_id, n_words, n_removed, kept_sha256, spans``.
 
     A word goes if a window of ``k`` words that covers it occurs at another
     place of the input.  ``spans`` lists the paths (first word, number of
     words, digest); it is null where the whole text has a copy or nothing repeats.
+    ``bits`` of a window's hash name its edge; the rows don't depend on it.
     """
-    profile, cleaned = _classes(docs, k)
+    profile, cleaned = _classes(docs, k, bits)
     hit = cleaned.select("digest", "whole", "n_removed", F.col("sha").alias("new_sha"), F.arrays_zip("start", "size", "path").alias("spans"))
     out = profile.select("doc_id", "digest", "n_words", "sha").join(hit, "digest", "left")
     return out.select(
@@ -238,8 +275,8 @@ def _with_digest(name: str):
         for batch in batches:
             ids = []
             for block in V.blocks(batch.column(batch.schema.get_field_index("text"))):
-                w = V.words(block)
-                ids += [_digest(w, i) for i in range(block.hi - block.lo)]
+                raw = block.data.tobytes()
+                ids += [_digest(_joined(raw[a:z])) for a, z in itertools.pairwise(block.off.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, name])
 
     return run
@@ -256,4 +293,4 @@ def remove_repeated(docs: DataFrame, k: int = WORDS) -> DataFrame:
     rows = docs.mapInArrow(_with_digest(digest), T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
     rows = rows.join(cleaned.select(F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("kept").alias(kept)), digest, "left")
     text = F.when(F.col(whole), F.lit("")).otherwise(F.coalesce(kept, "text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[text.alias("text") if c == "text" else x for c, x in zip(docs.columns, columns(docs), strict=True)])

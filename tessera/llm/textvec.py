@@ -5,6 +5,10 @@ separators are ASCII, so working on UTF-8 bytes gives the same words as working
 on code points.  Texts are processed in blocks of whole documents, so the
 working memory follows the block size and the longest document, never the
 partition.
+
+Hashes have 64 bits and go over the bytes eight at a time through a mixing
+function that isn't linear, so segments of up to eight bytes and equal length never
+collide, and longer ones do with a chance of about ``2**-64`` a pair.
 """
 
 from __future__ import annotations
@@ -15,37 +19,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 21
 
+#: Segments beyond this many bytes are hashed one by one.
+LONG = 64
+
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 IS_SEP = np.zeros(256, dtype=bool)
 IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
-_EXACT = _BYTE.copy()
-_EXACT[IS_SEP] = 0
-_LOWER = _EXACT.copy()
-_LOWER[65:91] = _LOWER[97:123]
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_STEP = 1 << 16
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_POW = _powers(_BASE, _STEP)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_SIZE, _LEFT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash for each two, in this order."""
+    x = left * _LEFT
+    x += right
+    return mix(x)
 
 
 def as_text(column: pa.Array) -> pa.Array:
@@ -89,17 +93,49 @@ class Words:
     off: np.ndarray
 
 
-def segment_hash(contrib: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each segment that begins at ``start`` (the last one runs to the end)."""
-    n = len(contrib)
-    pos = np.arange(n, dtype=np.int64)
-    pos -= np.repeat(start, np.diff(start, append=n)) if start[0] == 0 else np.concatenate([pos[: start[0]], np.repeat(start, np.diff(start, append=n))])
-    longest = int(pos.max(initial=0))
-    with np.errstate(over="ignore"):
-        power = _POW[pos & (_STEP - 1)] if longest >= _STEP else _POW[pos]
-        if longest >= _STEP:
-            power = power * _powers(_POW[-1] * _BASE, longest // _STEP + 1)[pos >> 16]
-        return np.add.reduceat(contrib * power, start)
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _FOLD[data]
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """At every place the eight bytes from there on as one number (zeros follow the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
+def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each segment ``start..end``."""
+    size = end - start
+    lane = lanes(data)
+    h = (size + 1).astype(np.uint64) * _SIZE
+    h ^= lane[start] & _MASK[np.minimum(size, 8)]
+    h = mix(h)
+    rest, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (lane[start[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    rest = np.flatnonzero(size > LONG)
+    if len(rest):
+        raw = data.tobytes()
+        h[rest] = [xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+    return h
+
+
+def equal_segments(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``a_start`` in ``a`` are those from ``b_start`` in ``b``."""
+    x, y = lanes(a), lanes(b)
+    out = ((x[a_start] ^ y[b_start]) & _MASK[np.minimum(size, 8)]) == 0
+    rest, at = np.flatnonzero(out & (size > 8)), 8
+    while len(rest) and at < LONG:
+        out[rest] = ((x[a_start[rest] + at] ^ y[b_start[rest] + at]) & _MASK[np.minimum(size[rest] - at, 8)]) == 0
+        at += 8
+        rest = rest[out[rest] & (size[rest] > at)]
+    for i in rest.tolist():
+        out[i] = bool((a[a_start[i] : a_start[i] + size[i]] == b[b_start[i] : b_start[i] + size[i]]).all())
+    return out
 
 
 def words(block: Block, lower: bool = False, hashes: bool = True) -> Words:
@@ -114,11 +150,7 @@ def words(block: Block, lower: bool = False, hashes: bool = True) -> Words:
     first[edge] = inside[edge]
     last[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = np.zeros(len(start), np.uint64)
-    if hashes and len(start):
-        h = segment_hash((_LOWER if lower else _EXACT)[block.data], start)
-        with np.errstate(over="ignore"):
-            h = mix(h ^ ((end - start).astype(np.uint64) << _U(56)))
+    h = segment_hash(folded(block.data) if lower else block.data, start, end) if hashes and len(start) else np.zeros(len(start), np.uint64)
     return Words(start, end, h, np.searchsorted(start, block.off))
 
 
@@ -126,16 +158,16 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive values (ignoring row ends); empty if there are fewer."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        done, out, power, size = 0, None, h, 1
-        while True:  # joins the hashes of runs of 1, 2, 4 ... values
-            if k & size:
-                out = power[: len(h) - k + 1].copy() if out is None else out + _POW[done] * power[done : done + len(h) - k + 1]
-                done += size
-            if done == k:
-                return mix(out)
-            power = power[: len(power) - size] + _POW[size] * power[size:]
-            size *= 2
+    done, out, run, size, n = 0, None, h, 1, len(h) - k + 1
+    while True:  # joins the hashes of runs of 1, 2, 4 ... values
+        if k & size:
+            part = run[done : done + n]
+            out = part if out is None else join(out, part)
+            done += size
+        if done == k:
+            return mix(out + _U(k))
+        run = join(run[: len(run) - size], run[size:])
+        size *= 2
 
 
 def window_starts(off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
