@@ -11,10 +11,14 @@
    continuations it has once, twice and more often, and for each word in how
    many contexts it occurs.
 4. Workers map the arrays into memory and look up each block's sorted distinct
-   bigrams, so resident memory doesn't follow the model's size.
+   bigrams, so resident memory doesn't follow the model's size; at most ``OPEN``
+   arrays are mapped at a time.
 
 Everything is counted over all learning documents, without cut-offs.  Every text
-starts in a context of its own and ends with an end token.
+starts in a context of its own and ends with an end token; null texts read as
+empty ones, and rows with an equal id or text count each for itself.  The model lists
+how many entries each file has to have; one that is missing or of another length
+is an error.  More than ``2**32`` different words are refused with an error.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from tessera.llm.common import shared_dir, texts_of
 END = np.uint64(0x5EED0E4D)
 FLUSH = 3_000_000
 SHARD_TOKENS = 1 << 23
+WORD_SHARDS = 1 << 16  # at most
+OPEN = 8192
 
 
 def _local(uri: str) -> str:
@@ -53,10 +59,6 @@ def _write(folder: str, name: str, data: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}")
 
 
-def _read(path: str, kind) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-
-
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(key):
         return key, count
@@ -80,8 +82,8 @@ def _tokens(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
 class _Sums:
     """Counts by key, added up until there are many and then sent, one sorted array per shard."""
 
-    def __init__(self, shard_of, shards: int):
-        self.shard_of, self.shards, self.parts, self.size = shard_of, shards, [], 0
+    def __init__(self, shard_of):
+        self.shard_of, self.parts, self.size = shard_of, [], 0
 
     def add(self, key: np.ndarray, count: np.ndarray):
         self.parts.append((key, count))
@@ -98,13 +100,11 @@ class _Sums:
         shard = self.shard_of(key)
         rows = {"shard": [], "key": [], "count": []}
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            pick = order[cut[s] : cut[s + 1]]
-            if len(pick):
-                rows["shard"].append(s)
-                rows["key"].append(_pack(key[pick]))
-                rows["count"].append(_small(count[pick]))
+        for s, a, z in _runs(shard[order]):
+            pick = order[a:z]
+            rows["shard"].append(s)
+            rows["key"].append(_pack(key[pick]))
+            rows["count"].append(_small(count[pick]))
         return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), pa.array(rows["key"], pa.binary()), pa.array(rows["count"], pa.binary())], names=["shard", "key", "count"])
 
 
@@ -150,7 +150,8 @@ class Model:
 
     folder: str
     word_shards: int
-    base: list[int] = field(default_factory=list)  # number of the first word of each shard
+    base: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of the first word of each shard
+    entries: dict[str, np.ndarray] = field(default_factory=dict)  # the length of each shard's arrays
     tokens: int = 0
     types: int = 0
     texts: int = 0
@@ -163,6 +164,10 @@ class Model:
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(self.word_shards) >> np.uint64(32)).astype(np.int64)
 
+    def shard_of(self, number: np.ndarray) -> np.ndarray:
+        """The word shard of word numbers; ``types``, the start of a text, is with the last one's."""
+        return np.searchsorted(self.base, number, "right") - 1
+
     def pair_shard(self, key: np.ndarray, before_count: np.ndarray) -> np.ndarray:
         """Pairs go by their context, those of frequent contexts by the whole pair."""
         frequent = before_count * (4 * self.shards) > self.tokens
@@ -170,32 +175,45 @@ class Model:
         return ((x >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(shard: np.ndarray):
+    """``(shard, first, end)`` of each run in sorted shard numbers."""
+    if len(shard):
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        yield from zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)
+
+
 class Reader:
-    """A worker's view of a model; arrays are mapped on first use."""
+    """A worker's view of a model; arrays are mapped on first use, and the oldest one makes room."""
 
     def __init__(self, model: Model):
         self.m, self.open = model, {}
 
-    def array(self, name: str, kind) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.m.folder}/{name}"
-            self.open[name] = _read(path, kind) if os.path.exists(path) else np.zeros(0, kind)
-        return self.open[name]
+    def array(self, name: str, shard: int, kind: str | None, width: int = 1) -> np.ndarray:
+        """A shard's array; ``kind`` None stands for counts in four or eight bytes."""
+        key = name, shard
+        if key not in self.open:
+            n = int(self.m.entries["pair" if name in ("pair", "times") else "stats" if name == "stats" else "word"][shard]) * width
+            path = f"{self.m.folder}/{name}-{shard}"
+            size = os.path.getsize(path) if os.path.exists(path) else 0 if n == 0 else -1
+            kind = kind or ("<u8" if size == 8 * n else "<u4")
+            if size != n * np.dtype(kind).itemsize:
+                raise RuntimeError(f"the language model's file {path} is {'missing' if size < 0 else 'not whole'}")
+            if len(self.open) >= OPEN:
+                del self.open[next(iter(self.open))]
+            self.open[key] = np.memmap(path, kind, "r") if n else np.zeros(0, kind)
+        return self.open[key]
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(number or -1, count)`` of sorted distinct hashes."""
         number, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        shard = self.m.word_shard(h)
-        cut = np.searchsorted(shard, np.arange(self.m.word_shards + 1))
-        for s in range(self.m.word_shards):
-            a, z = cut[s], cut[s + 1]
-            keys = self.array(f"word-{s}", np.uint64)
-            if a == z or not len(keys):
+        for s, a, z in _runs(self.m.word_shard(h)):
+            keys = self.array("word", s, "<u8")
+            if not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, h[a:z]), len(keys) - 1)
             hit = keys[at] == h[a:z]
             number[a:z] = np.where(hit, at + self.m.base[s], -1)
-            count[a:z] = np.where(hit, self.array(f"count-{s}", np.int64)[at], 0)
+            count[a:z] = np.where(hit, self.array("count", s, "<i8")[at], 0)
         return number, count
 
     def pairs(self, key: np.ndarray, before_count: np.ndarray) -> np.ndarray:
@@ -203,36 +221,29 @@ class Reader:
         out = np.zeros(len(key), np.int64)
         shard = self.m.pair_shard(key, before_count)
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for s in range(self.m.shards):
-            pick = order[cut[s] : cut[s + 1]]
-            keys = self.array(f"pair-{s}", np.uint64)
-            if not len(pick) or not len(keys):
+        for s, a, z in _runs(shard[order]):
+            pick = order[a:z]
+            keys = self.array("pair", s, "<u8")
+            if not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, key[pick]), len(keys) - 1)
             hit = keys[at] == key[pick]
-            out[pick[hit]] = self.array(f"times-{s}", np.uint32)[at[hit]]
+            out[pick[hit]] = self.array("times", s, None)[at[hit]]
         return out
 
     def stats(self, number: np.ndarray) -> np.ndarray:
         """Of sorted distinct word numbers: tokens after it, continuations once, twice, more; contexts before it."""
         out = np.zeros((len(number), 5), np.int64)
-        ends = np.array([*self.m.base[1:], self.m.types + 1])
-        cut = np.concatenate([[0], np.searchsorted(number, ends)])
-        for s in range(self.m.word_shards):
-            a, z = cut[s], cut[s + 1]
-            if a < z and len(x := self.array(f"stats-{s}", np.int64)):
+        for s, a, z in _runs(self.m.shard_of(number)):
+            if len(x := self.array("stats", s, "<i8", 5)):  # none: the words there have no pairs
                 out[a:z] = x.reshape(-1, 5)[number[a:z] - self.m.base[s]]
         return out
 
     def count_of(self, number: np.ndarray) -> np.ndarray:
         """Counts of sorted word numbers; ``types``, the start of a text, counts the texts."""
         out = np.full(len(number), self.m.texts, np.int64)
-        cut = np.searchsorted(number, [*self.m.base, self.m.types])
-        for s in range(self.m.word_shards):
-            a, z = cut[s], cut[s + 1]
-            if a < z:
-                out[a:z] = self.array(f"count-{s}", np.int64)[number[a:z] - self.m.base[s]]
+        for s, a, z in _runs(self.m.shard_of(number[: np.searchsorted(number, self.m.types)])):
+            out[a:z] = self.array("count", s, "<i8")[number[a:z] - self.m.base[s]]
         return out
 
     def numbers(self, block: V.Block):
@@ -251,9 +262,9 @@ class Reader:
         return b, c
 
 
-def _word_counts(shards: int, model: Model):
+def _word_counts(model: Model):
     def run(batches):
-        sums = _Sums(model.word_shard, shards)
+        sums = _Sums(model.word_shard)
         for batch in batches:
             for block in V.blocks(batch.column(0)):
                 h, _ = _tokens(block)
@@ -270,7 +281,7 @@ def _pair_counts(model: Model):
         def shard_of(key: np.ndarray) -> np.ndarray:
             return model.pair_shard(key, reader.count_of((key >> np.uint64(32)).astype(np.int64)))
 
-        sums = _Sums(shard_of, model.shards)
+        sums = _Sums(shard_of)
         for batch in batches:
             for block in V.blocks(batch.column(0)):
                 number, count, off = reader.numbers(block)
@@ -283,15 +294,11 @@ def _pair_counts(model: Model):
 
 def _split_stats(model: Model, number: np.ndarray, columns: list[np.ndarray]):
     """Rows ``(shard of the word, numbers, columns)`` of partial sums."""
-    bounds = np.array([*model.base, model.types + 1])
-    cut = np.searchsorted(number, bounds)
-    for s in range(model.word_shards):
-        a, z = cut[s], cut[s + 1]
-        if a < z:
-            yield s, np.diff(number[a:z], prepend=0).astype(np.uint32).tobytes(), [_small(c[a:z]) for c in columns]
+    for s, a, z in _runs(model.shard_of(number)):
+        yield s, np.diff(number[a:z], prepend=0).astype(np.uint32).tobytes(), [_small(c[a:z]) for c in columns]
 
 
-_STATS = "shard int, number binary, tokens binary, once binary, twice binary, more binary, contexts binary, k1 long, k2 long, k3 long, k4 long"
+_STATS = "shard int, number binary, tokens binary, once binary, twice binary, more binary, contexts binary, k1 long, k2 long, k3 long, k4 long, pair_shard long, pairs long"
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -310,7 +317,7 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select("text")
     folder = _local(shared_dir(spark))
     parts = docs.rdd.getNumPartitions()
-    model = Model(folder, word_shards=max(1, min(parts // 2, 4096)))
+    model = Model(folder, word_shards=max(1, min(parts // 2, WORD_SHARDS)))
 
     def words(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
@@ -319,38 +326,41 @@ def train(docs: DataFrame) -> Model:
         ends = int(counts[keys == END].sum())
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())], "texts": [ends]})
 
-    rows = texts.mapInArrow(_word_counts(model.word_shards, model), "shard int, key binary, count binary")
-    found = {r.shard: r for r in rows.groupBy("shard").applyInArrow(words, "shard int, types long, tokens long, texts long").collect()}  # a row per shard
-    types = [found[s].types if s in found else 0 for s in range(model.word_shards)]
-    model.base = [int(x) for x in np.concatenate([[0], np.cumsum(types)])[:-1]]
-    model.types, model.tokens, model.texts = sum(types), sum(r.tokens for r in found.values()), sum(r.texts for r in found.values())
+    rows = texts.mapInArrow(_word_counts(model), "shard int, key binary, count binary")
+    found = rows.repartition(model.word_shards, "shard").groupBy("shard").applyInArrow(words, "shard int, types long, tokens long, texts long").collect()  # a row per shard
+    types = np.zeros(model.word_shards, np.int64)
+    types[[r.shard for r in found]] = [r.types for r in found]
+    model.base = np.concatenate([[0], np.cumsum(types)[:-1]])
+    model.types, model.tokens, model.texts = int(types.sum()), sum(r.tokens for r in found), sum(r.texts for r in found)
     if model.types >= 1 << 32:
         raise ValueError("more than 2^32 different words")
     model.shards = max(1, -(-model.tokens // SHARD_TOKENS))
+    model.entries = {"word": types, "pair": np.zeros(model.shards, np.int64), "stats": np.zeros(model.word_shards, np.int64)}
 
     def pairs(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
         _write(folder, f"pair-{shard}", keys)
-        _write(folder, f"times-{shard}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        _write(folder, f"times-{shard}", counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
         before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(keys) else np.zeros(0, np.int64)
         out = {name: [] for name in (x.split()[0] for x in _STATS.split(", "))}
+        of = [(shard, len(keys))]
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else first
         sums = [add(counts), add(counts == 1), add(counts == 2), add(counts > 2)]
         words_, contexts = np.unique(after, return_counts=True)
         for number, columns in ((before[first], [*sums, np.zeros(len(first), np.int64)]), (words_, [*[np.zeros(len(words_), np.int64)] * 4, contexts])):
             for s, n, c in _split_stats(model, number, columns):
-                for name, value in zip(out, (s, n, *c, *kinds), strict=True):
+                for name, value in zip(out, (s, n, *c, *kinds, *(of.pop() if of else (-1, 0))), strict=True):
                     out[name].append(value)
                 kinds = [0, 0, 0, 0]
-        types_ = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 4]
+        types_ = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 6]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types_, strict=True)})
 
     def stats(table: pa.Table) -> pa.Table:
         shard = int(table.column("shard")[0].as_py())
-        first = model.base[shard]
-        size = (model.base[shard + 1] if shard + 1 < model.word_shards else model.types + 1) - first
+        first = int(model.base[shard])
+        size = (int(model.base[shard + 1]) if shard + 1 < model.word_shards else model.types + 1) - first
         total = np.zeros((size, 5), np.int64)
         for i in range(table.num_rows):
             number = np.cumsum(np.frombuffer(table.column("number")[i].as_py(), np.uint32), dtype=np.int64) - first
@@ -359,11 +369,15 @@ def train(docs: DataFrame) -> Model:
         _write(folder, f"stats-{shard}", total)
         c = total[:, 4]
         k = [sum(table.column(f"k{j}").to_pylist()) for j in (1, 2, 3, 4)]
-        return pa.table({"pairs": [k], "words": [[int((c == j).sum()) for j in (1, 2, 3, 4)]], "continuations": [int(c.sum())], "more": [int((c > 2).sum())]})
+        own = [(s, n) for s, n in zip(table.column("pair_shard").to_pylist(), table.column("pairs").to_pylist(), strict=True) if s >= 0]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "size": [size], "of": pa.array([[s for s, _ in own]], pa.list_(pa.int64())), "entries": pa.array([[n for _, n in own]], pa.list_(pa.int64())), "pairs": [k], "words": [[int((c == j).sum()) for j in (1, 2, 3, 4)]], "continuations": [int(c.sum())], "more": [int((c > 2).sum())]})
 
     rows = texts.mapInArrow(_pair_counts(model), "shard int, key binary, count binary")
-    rows = rows.groupBy("shard").applyInArrow(pairs, _STATS)
-    rows = rows.groupBy("shard").applyInArrow(stats, "pairs array<long>, words array<long>, continuations long, more long").collect()  # a row per shard
+    rows = rows.repartition(model.shards, "shard").groupBy("shard").applyInArrow(pairs, _STATS)
+    rows = rows.groupBy("shard").applyInArrow(stats, "shard int, size long, of array<long>, entries array<long>, pairs array<long>, words array<long>, continuations long, more long").collect()  # a row per shard
+    for r in rows:
+        model.entries["stats"][r.shard] = r["size"]
+        model.entries["pair"][r["of"]] = r["entries"]
     total = lambda name: [sum(x) for x in zip(*(r[name] for r in rows), strict=True)] or [0, 0, 0, 0]
     model.discount, model.lower_discount = _discounts(total("pairs")), _discounts(total("words"))
     model.continuations = sum(r.continuations for r in rows)
@@ -406,7 +420,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     token has the uniform probability over the unknown word.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a shard
+
     def run(batches):
+        model = shared.value
         reader = Reader(model)
         for batch in batches:
             cols = [[] for _ in range(4)]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -358,6 +359,36 @@ def test_model_of_nothing(odd, empty):
     assert all(r.score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in kneser_ney.score(odd, model).collect())
 
 
+def test_models_that_are_not_whole_are_refused(docs):
+    for name in ("word", "count", "pair", "times", "stats"):
+        for whole in (False, True):
+            model = kneser_ney.train(docs.limit(30))
+            paths = [f"{model.folder}/{x}" for x in os.listdir(model.folder) if x.startswith(f"{name}-")]
+            assert paths
+            for path in paths:
+                if whole:
+                    os.remove(path)
+                else:
+                    os.truncate(path, os.path.getsize(path) - 8)
+            with pytest.raises(Exception, match="missing" if whole else "not whole"):
+                kneser_ney.score(docs, model).collect()
+
+
+def test_shards_and_mapped_arrays(docs, monkeypatch):
+    rows = lambda model: {r.doc_id: tuple(r) for r in kneser_ney.score(docs, model).collect()}
+    want = rows(kneser_ney.train(docs))
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 3000)
+    model = kneser_ney.train(docs.repartition(40))
+    assert model.shards > 20 and model.word_shards == 20
+    got = rows(model)
+    assert all(got[i][:4] == want[i][:4] and np.allclose(got[i][4:], want[i][4:], rtol=1e-9) for i in want)
+    reader = kneser_ney.Reader(model)
+    monkeypatch.setattr(kneser_ney, "OPEN", 3)
+    block = next(V.blocks(pa.array([docs.first().text])))
+    number, count, off = reader.numbers(block)
+    assert np.isfinite(kneser_ney.log10_probabilities(reader, number, count, off)).all() and len(reader.open) <= 3
+
+
 # 7 encoding
 
 
