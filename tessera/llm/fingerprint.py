@@ -2,14 +2,20 @@
 
 A fingerprint keeps every word-shingle hash below a fixed fraction of the hash
 range, so that sketches of any two texts can be merged, intersected and
-compared, however unequal their lengths.  Texts of up to ``WHOLE`` distinct
-shingles keep all their hashes (a fraction of 1), so any thinned sketch still has
-about ``WHOLE / SCALE`` hashes or more; two sketches are compared at the smaller
-of their fractions.
+compared, however unequal their lengths.  The fraction is ``1 / SCALE`` for sets of
+more than ``WHOLE`` distinct shingles and 1 for others, which a thinned sketch would
+say too little about.  It is part of the sketch; two sketches are compared at
+the smaller of their fractions, and ``merge`` gives the sketch of the united sets.
+
+Null texts read as empty; texts without a word have an empty sketch.  Rows without
+an id come after all others; equal ids are ordered by a hash of the text and then by
+the text.  A text of any length is one row, as is its sketch.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +24,8 @@ from tessera.llm.common import texts_of
 SHINGLE = 5
 SCALE = 4
 WHOLE = 4096
-BUCKET = 4096
+BUCKET = 4096  # rows of a bucket of neighbouring ids, more where there would be over
+BUCKETS = 1 << 16
 _MOST = 2**63 - 1
 
 
@@ -69,10 +76,14 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of both texts together, at the smaller of their fractions."""
+def merge(a: Column, b: Column, scale: int = SCALE, whole: int = WHOLE) -> Column:
+    """The sketch of both texts' shingles together."""
     x, y = _common(a, b)
-    return F.concat(F.array(F.greatest(F.get(a, F.lit(0)), F.get(b, F.lit(0)))), F.array_sort(F.array_union(x, y)))
+    of = F.greatest(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
+    both = F.array_sort(F.array_union(x, y))
+    many = (of == 1) & (F.size(both) > whole)
+    kept = F.when(many, F.filter(both, lambda h: h < F.lit(_MOST // scale))).otherwise(both)
+    return F.concat(F.array(F.when(many, F.lit(scale)).otherwise(of).cast("bigint")), kept)
 
 
 def _common(a: Column, b: Column) -> tuple[Column, Column]:
@@ -88,26 +99,46 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE, whole: i
     return packed.select("doc_id", _as_text(F.col("sketch")).alias("fingerprint"), "sketch")
 
 
+_PLACE = "struct<none boolean, back bigint, tie bigint>"
+
+
+def _bucket(place: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at or before ``place``; looked up in two steps."""
+    step = max(1, int(len(bounds) ** 0.5))
+    known = lambda rows: F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<{_PLACE}>")
+    below = lambda rows: F.size(F.filter(rows, lambda b: b <= place))
+    if not bounds:
+        return F.lit(0)
+    group = F.greatest(below(known(bounds[::step])) - 1, F.lit(0))
+    return group * step + below(F.slice(known(bounds), group * step + 1, step))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document with ``next_text`` and ``next_sketch`` of the next one, by descending id.
 
-    The first follows the last.  Equal ids are ordered by a hash of the text;
-    null ids come last.  Ids are dealt into buckets of ``BUCKET`` consecutive ids,
-    each bucket gets a copy of the row that follows its last one, and a window
-    inside the buckets does the rest, so texts move once.  Sketches are made after
-    the texts have moved.
+    The first follows the last.  Rows are dealt into buckets of neighbours in this
+    order.  A hash picks the rows that begin a bucket, about one of ``BUCKET``, so
+    buckets hold about as many rows each, whatever the ids are like; the driver
+    gets the places of these few rows, not their texts.  Each bucket has a copy of the
+    first row of the next bucket, and a window inside the buckets does the rest, so
+    texts move once.  Sketches are made after the texts have moved.
     """
-    docs = texts_of(docs).withColumn("bucket", F.floor(F.col("doc_id") / BUCKET)).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    head = F.min(F.struct((-F.col("doc_id")).alias("d"), "tie", "text"))
-    heads = docs.groupBy("bucket").agg(head.alias("head"))
-    every = Window.orderBy(F.col("bucket").desc_nulls_last())  # a row for each bucket of ids
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("head"))
-    heads = heads.select((-F.col("head.d")).alias("doc_id"), F.col("head.text").alias("text"), "bucket", F.col("head.tie").alias("tie"), F.lit(1).alias("copy"))
-    rows = docs.withColumn("copy", F.lit(0)).unionByName(heads).repartition("bucket").sortWithinPartitions("bucket", "copy", *order)
+    docs = texts_of(docs)
+    step = max(BUCKET, -(-docs.count() // BUCKETS))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("back"), F.xxhash64("text").alias("tie"))
+    docs = docs.withColumn("place", place).withColumn("begins", F.pmod(F.xxhash64("doc_id", "place.tie", F.lit(8)), F.lit(step)) == 0)
+    found = docs.agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("begins"), F.col("place"))).alias("bounds")).first()  # about BUCKETS places at most
+    first = found["first"]
+    bounds = sorted((b for b in found["bounds"] if b != first), key=lambda b: (b.none, b.back if b.back is not None else 0, b.tie))
+    n = len(bounds) + 1
+    rows = docs.withColumn("bucket", _bucket(F.col("place"), bounds))
+    heads = rows.filter(F.col("begins") | (F.col("place") == F.from_json(F.lit(json.dumps(first.asDict() if first else None)), _PLACE)))
+    heads = heads.groupBy(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket")).agg(F.min(F.struct("place", "text")).alias("head"))
+    heads = heads.select("bucket", F.col("head.place").alias("place"), F.col("head.text").alias("text"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("copy"))
+    order = ["copy", "place", "text"]
+    rows = rows.select("bucket", "place", "text", "doc_id", F.lit(0).alias("copy")).unionByName(heads).repartition(n, "bucket").sortWithinPartitions("bucket", *order)
     rows = rows.withColumn("sketch", sketch(F.col("text")))
-    w = Window.partitionBy("bucket").orderBy("copy", *order)
+    w = Window.partitionBy("bucket").orderBy(*order)
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))
     return rows.filter("copy = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 

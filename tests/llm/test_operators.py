@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
@@ -451,6 +452,62 @@ def test_likeness_estimates_jaccard_and_containment(spark):
     assert abs(x.j - 0.25) < 0.06 and x.c == 1 and x.m
 
 
+def plain_sketch(text, scale=fingerprint.SCALE, whole=fingerprint.WHOLE):
+    """The kept hashes of the public XXH64, whose seed of one word's hash is that of the word before."""
+    half = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    every = set()
+    for i in range(max(len(words) - 4, 1) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        every.add(h & (2**63 - 1))
+    if len(every) <= whole:
+        return 1, every
+    return scale, {h for h in every if half(h) < (2**63 - 1) // scale}
+
+
+def plain_likeness(a, b):
+    (d, x), (e, y) = a, b
+    limit = (2**63 - 1) // max(d, e) if d != e else 2**63
+    x, y = ({h for h in s if h < limit} for s in (x, y))
+    return len(x & y) / len(x | y) if x | y else None
+
+
+@pytest.mark.parametrize("bucket", [1, 2, 7, 4096])
+def test_fingerprints_by_brute_force(spark, docs, odd, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprint, "BUCKET", bucket)
+    r = random.Random(9)
+    sparse = [(r.randrange(-(2**62), 2**62), " ".join(r.choices("a b c d e f g".split(), k=r.randint(0, 9000 if i == 5 else 40)))) for i in range(150)]
+    sparse += [(None, "no id"), (None, None), (None, "nor here"), (7, "same id"), (7, "same id"), (7, "same  id"), (-(2**63), "least"), (2**63 - 1, "most"), *[(1000 + i, f"{w} " * 200) for i, w in enumerate("alpha beta gamma delta".split())]]
+    for table in (spark.createDataFrame(sparse, "doc_id long, text string"), docs if bucket in (7, 4096) else odd):
+        rows = [(x.doc_id, x.text) for x in table.collect()]
+        hashed = dict(table.select("text", F.xxhash64("text")).distinct().collect())
+        rows.sort(key=lambda x: (x[0] is None, -(x[0] or 0), hashed[x[1]], x[1] or ""))
+        want = collections.Counter()
+        for (i, t), (_, n) in zip(rows, [*rows[1:], rows[0]], strict=True):
+            t, n = t or "", n or ""
+            half = len(t) // 2
+            edited = t[: len(t) - half] + n[:half]
+            a, b, c = (plain_sketch(x) for x in (t, edited, n))
+            show = lambda s: f"{s[0]}:" + ",".join(f"{h:X}" for h in sorted(s[1]))
+            alike = lambda x, y, same: plain_likeness(x, y) if plain_likeness(x, y) is not None else float(same)
+            want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), alike(a, b, t == edited), alike(a, c, t == n)] += 1
+        assert collections.Counter(tuple(x) for x in fingerprint.edited_fingerprints(table).collect()) == want
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(40)}{i}" for i in range(n)) for n in (3, 5, 30, 61, 64, 70, 300)]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    made = df.select(*[fingerprint.sketch(F.col(c), whole=64, scale=4).alias(c) for c in "ab"])
+    for (a, b), m in zip(pairs, made.select(fingerprint.merge(F.col("a"), F.col("b"), scale=4, whole=64).alias("m")).collect(), strict=True):
+        both = plain_sketch(a, 1, 10**9)[1] | plain_sketch(b, 1, 10**9)[1]
+        want = [1, *sorted(both)] if len(both) <= 64 else [4, *sorted(h for h in both if h < (2**63 - 1) // 4)]
+        assert m.m == want
+
+
 def test_near_scores_are_close_to_exact_jaccard(spark):
     def shingles(text):
         w = WORD.findall(text)
