@@ -24,7 +24,7 @@ from tessera.llm.common import texts_of
 SHINGLE = 5
 SCALE = 4
 WHOLE = 4096
-BUCKET = 4096  # rows of a bucket of neighbouring ids, more where there would be over
+BUCKET = 1 << 23  # bytes of text in a bucket of neighbouring rows, more where there would be over
 BUCKETS = 1 << 16
 _MOST = 2**63 - 1
 
@@ -117,26 +117,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Each document with ``next_text`` and ``next_sketch`` of the next one, by descending id.
 
     The first follows the last.  Rows are dealt into buckets of neighbours in this
-    order.  A hash picks the rows that begin a bucket, about one of ``BUCKET``, so
-    buckets hold about as many rows each, whatever the ids are like; the driver
-    gets the places of these few rows, not their texts.  Each bucket has a copy of the
+    order.  A hash picks the rows that begin a bucket, a row the likelier the longer
+    its text is, so that buckets hold about ``BUCKET`` bytes each, whatever the ids and
+    lengths are like; the driver gets the places of these few rows, not their texts.  Each bucket has a copy of the
     first row of the next bucket, and a window inside the buckets does the rest, so
     texts move once.  Sketches are made after the texts have moved.
     """
     docs = texts_of(docs)
-    step = max(BUCKET, -(-docs.count() // BUCKETS))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    step = max(BUCKET, -(-(docs.agg(F.sum(size)).first()[0] or 0) // BUCKETS))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("back"), F.xxhash64("text").alias("tie"))
-    docs = docs.withColumn("place", place).withColumn("begins", F.pmod(F.xxhash64("doc_id", "place.tie", F.lit(8)), F.lit(step)) == 0)
+    docs = docs.withColumn("place", place).withColumn("begins", F.pmod(F.xxhash64("doc_id", "place.tie", F.lit(8)), F.lit(step)) < size)
     found = docs.agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("begins"), F.col("place"))).alias("bounds")).first()  # about BUCKETS places at most
     first = found["first"]
     bounds = sorted((b for b in found["bounds"] if b != first), key=lambda b: (b.none, b.back if b.back is not None else 0, b.tie))
     n = len(bounds) + 1
-    rows = docs.withColumn("bucket", _bucket(F.col("place"), bounds))
+    rows = docs.withColumn("bucket", _bucket(F.col("place"), bounds).cast("int"))
     heads = rows.filter(F.col("begins") | (F.col("place") == F.from_json(F.lit(json.dumps(first.asDict() if first else None)), _PLACE)))
-    heads = heads.groupBy(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket")).agg(F.min(F.struct("place", "text")).alias("head"))
+    heads = heads.groupBy(F.pmod(F.col("bucket") - 1, F.lit(n)).cast("int").alias("bucket")).agg(F.min(F.struct("place", "text")).alias("head"))
     heads = heads.select("bucket", F.col("head.place").alias("place"), F.col("head.text").alias("text"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("copy"))
     order = ["copy", "place", "text"]
-    rows = rows.select("bucket", "place", "text", "doc_id", F.lit(0).alias("copy")).unionByName(heads).repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    rows = rows.select("bucket", "place", "text", "doc_id", F.lit(0).alias("copy")).unionByName(heads).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", *order)
     rows = rows.withColumn("sketch", sketch(F.col("text")))
     w = Window.partitionBy("bucket").orderBy(*order)
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sketch", F.lead("sketch").over(w))

@@ -327,7 +327,7 @@ def train(docs: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())], "texts": [ends]})
 
     rows = texts.mapInArrow(_word_counts(model), "shard int, key binary, count binary")
-    found = rows.repartition(model.word_shards, "shard").groupBy("shard").applyInArrow(words, "shard int, types long, tokens long, texts long").collect()  # a row per shard
+    found = rows.repartitionById(model.word_shards, F.col("shard")).groupBy("shard").applyInArrow(words, "shard int, types long, tokens long, texts long").collect()  # a row per shard
     types = np.zeros(model.word_shards, np.int64)
     types[[r.shard for r in found]] = [r.types for r in found]
     model.base = np.concatenate([[0], np.cumsum(types)[:-1]])
@@ -373,7 +373,7 @@ def train(docs: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "size": [size], "of": pa.array([[s for s, _ in own]], pa.list_(pa.int64())), "entries": pa.array([[n for _, n in own]], pa.list_(pa.int64())), "pairs": [k], "words": [[int((c == j).sum()) for j in (1, 2, 3, 4)]], "continuations": [int(c.sum())], "more": [int((c > 2).sum())]})
 
     rows = texts.mapInArrow(_pair_counts(model), "shard int, key binary, count binary")
-    rows = rows.repartition(model.shards, "shard").groupBy("shard").applyInArrow(pairs, _STATS)
+    rows = rows.repartitionById(model.shards, F.col("shard")).groupBy("shard").applyInArrow(pairs, _STATS)
     rows = rows.groupBy("shard").applyInArrow(stats, "shard int, size long, of array<long>, entries array<long>, pairs array<long>, words array<long>, continuations long, more long").collect()  # a row per shard
     for r in rows:
         model.entries["stats"][r.shard] = r["size"]

@@ -43,8 +43,8 @@ PERMUTATIONS = 128
 BITS = 2
 MISS = 1e-6
 SIGMAS = 6
-BLOCK = 1000  # members and
-BLOCK_SHINGLES = 1 << 20  # shingles of a block, on average
+BLOCK = 400  # members and
+BLOCK_SHINGLES = 1 << 19  # shingles of a block, on average
 HUBS = 6
 
 _r = np.random.Generator(np.random.PCG64(77))
