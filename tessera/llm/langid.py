@@ -1,14 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A model of ``ORDER`` characters is learned for each language from a bounded
-sample of labelled rows (``SAMPLE`` documents a language, whole texts, chosen by
-a hash of the id).  Counts lie in sorted arrays of n-gram hashes.  A text goes
-to the language of the lowest cross-entropy per character; letters are folded to
+A model of three characters is learned for each language from a bounded
+sample of labelled rows (``SAMPLE`` documents a language of up to ``SAMPLE_TEXT``
+bytes, whole texts, chosen by a hash of the row, ``SAMPLE_BYTES`` in all).  Counts
+lie in sorted arrays of n-gram hashes.  A text goes to the language of the lowest
+cross-entropy per character, the first by name of several; letters are folded to
 lower case, and anything else counts as one gap between words.
 
 A prediction is rejected where that cross-entropy is above nearly all those of
 the language's own calibration texts.  ``lang_pred`` is ``und`` for texts that
-are null or have no letter.
+are null or have no letter.  Languages are scored one after another, and texts beyond
+a block in slices, so memory depends neither on how many languages there are nor
+on the longest text.  Equal texts have equal predictions.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
 from tessera.llm.common import texts_of
 
 SAMPLE = 400
+SAMPLE_TEXT = 1 << 16
+SAMPLE_BYTES = 1 << 26
 LANGUAGES = 1000
 CALIBRATION = 5  # every fifth sampled text calibrates the rejection
 TAIL = 0.995
@@ -53,7 +58,6 @@ class Alphabet:
 
     def symbols(self, cps: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of texts that begin at ``start``, each led by a gap, runs of gaps as one; and their offsets."""
-        own = np.searchsorted(cps, [], "left")  # no texts: no symbols
         own = np.repeat(np.arange(len(start) - 1), np.diff(start))
         s = self.code[cps]
         keep = np.ones(len(s), bool)
@@ -146,7 +150,7 @@ class Identifier:
         for j, x in enumerate(self.names):
             held = [t for i, t in enumerate(texts[x]) if i % CALIBRATION == 0 and t]
             key, off = self._keys(held)
-            h = self._entropy(self.table(key)[:, j : j + 1], off)[:, 0] if held else np.zeros(0)
+            h = -_sums(self.models[j].log2(key), off) / np.maximum(np.diff(off), 1) if held else np.zeros(0)
             self.limit.append(float(np.quantile(h, TAIL)) * 1.05 if len(h) else np.inf)
         self.limit = np.array(self.limit)
 
@@ -154,28 +158,43 @@ class Identifier:
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         return _trigrams(*self.alphabet.symbols(cps, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)), self.alphabet.size)
 
-    def table(self, key: np.ndarray) -> np.ndarray:
-        return np.stack([m.log2(key) for m in self.models], axis=1)
-
-    @staticmethod
-    def _entropy(logs: np.ndarray, off: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0, dtype=float)])[off]
-        return -np.diff(total, axis=0) / np.maximum(np.diff(off), 1)[:, None]
+    def totals(self, key: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """log2 probability of each text's trigrams in every language."""
+        unique, inverse = _distinct(key, self.alphabet.size**3)
+        return np.stack([_sums(m.log2(unique)[inverse], off) for m in self.models], axis=1)
+
+    def _in_slices(self, data: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """``(totals, trigrams, letters)`` of one long text."""
+        total, n, letters, last, at, m = np.zeros(len(self.models)), 0, 0, (0, 0), 0, self.alphabet.size
+        while at < len(data):
+            end = min(at + V.BLOCK_BYTES, len(data))
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            s = self.alphabet.code[np.frombuffer(data[at:end].tobytes().decode().encode("utf-32-le"), np.uint32)]
+            s = s[(s > 0) | (np.concatenate([last[1:], s[:-1]]) > 0)]  # runs of gaps as one
+            x = np.concatenate([last, s])
+            key = (x[:-2] * m + x[1:-1]) * m + s
+            total += self.totals(key, np.array([0, len(key)]))[0]
+            n, letters, last, at = n + len(s), letters + int((s > 0).sum()), tuple(x[-2:].tolist()), end
+        return total, n, letters
 
     def predict(self, block: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(language index or -1, score, rejected)`` of each text."""
-        text = block.data.tobytes().decode()
-        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        start = block.off
-        if len(cps) != len(block.data):
-            start = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.off]
-        s, off = self.alphabet.symbols(cps, start)
-        key, to = _trigrams(s, off, self.alphabet.size)
-        known = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[off]) > 0
-        unique, inverse = _distinct(key, self.alphabet.size**3)
-        h = self._entropy(self.table(unique)[inverse], to)
+        if block.hi - block.lo == 1 and len(block.data) > V.BLOCK_BYTES:
+            total, n, letters = self._in_slices(block.data)
+            total, n, known = total[None], np.array([n]), np.array([letters > 0])
+        else:
+            cps = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            start = block.off
+            if len(cps) != len(block.data):
+                start = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.off]
+            s, off = self.alphabet.symbols(cps, start)
+            known = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[off]) > 0
+            key, to = _trigrams(s, off, self.alphabet.size)
+            total, n = self.totals(key, to), np.diff(to)
+        h = -total / np.maximum(n, 1)[:, None]
         best = h.argmin(axis=1)
-        weight = np.minimum(np.diff(to), 60)[:, None]
+        weight = np.minimum(n, 60)[:, None]
         odds = np.exp2((h.min(axis=1, keepdims=True) - h) * weight)
         score = 1 / odds.sum(axis=1)
         rejected = h[np.arange(len(h)), best] > self.limit[best]
@@ -183,6 +202,10 @@ class Identifier:
         return np.where(known, best, -1), np.where(known, score, 0.0), rejected | ~known
 
 
+def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0.0], np.cumsum(x)])[off])
+
+
 def _distinct(key: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
     if space > 1 << 25:
         return np.unique(key, return_inverse=True)
@@ -197,25 +220,26 @@ def _distinct(key: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Identifier:
     """Fit on about ``sample`` documents of each language among the ``learnable`` rows.
 
-    Rows are chosen by a hash of their id against a share worked out from the
-    languages' counts; of these at most ``2 * sample`` are used.  Every
-    language is learned; more than ``LANGUAGES`` are refused with an error.
+    Rows are chosen by a hash of id and text against a share worked out from the
+    languages' counts, and taken in the hash's order up to the bounds on rows
+    and bytes.  Every language is learned; more than ``LANGUAGES`` are refused
+    with an error.
     """
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
+    rows = docs.filter(learnable & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT)).select("lang", "doc_id", "text")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} values of lang")
     if not counts:
         return Identifier({})
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(sample / r.n)).otherwise(share)
-    u = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, sample / r.n) for r in counts], "lang string, share double"))  # a row a language
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.withColumn("u", u).join(share, "lang").filter("u < share")
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    some = some.withColumn("place", F.row_number().over(order)).withColumn("before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.octet_length("text"))
+    picked = some.filter((F.col("place") <= 2 * sample) & (F.col("before") <= SAMPLE_BYTES // len(counts))).select("lang", "doc_id", "text").collect()
     texts: dict[str, list[str]] = {}
-    picked = rows.filter(u < share).select("lang", "doc_id", "text").limit(3 * sample * len(counts)).collect()
     for r in sorted(picked, key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text)):
-        if len(texts.setdefault(r.lang, [])) < 2 * sample:
-            texts[r.lang].append(r.text)
+        texts.setdefault(r.lang, []).append(r.text)
     return Identifier(texts)
 
 

@@ -4,9 +4,11 @@ Bytes are embedded; ``FILTERS`` learned filters run over chunks of ``2 * STRIDE`
 bytes that overlap by half and cover the whole document; each filter's largest
 answer is kept, and a logistic unit combines them into one probability.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled rows, chosen
-by a hash of the id.  Only the text is an input.  Empty and null texts are one
-chunk of padding, and so have a score as well.
+The network is fitted on the driver on at most ``SAMPLE`` labelled documents of up
+to ``SAMPLE_TEXT`` bytes, chosen by a hash of the id.  Only the text is an input.
+Empty and null texts are one chunk of padding, and so have a score as well; equal
+texts have equal scores.  Texts of any length are pooled ``SLICE`` half chunks at a
+time.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tessera.llm import textvec as V
 from tessera.llm.common import texts_of
 
 SAMPLE = 4000
+SAMPLE_TEXT = 1 << 16
+SLICE = 1 << 14
 EPOCHS = 14
 BATCH = 32
 EMBEDDING = 8
@@ -44,7 +48,10 @@ class Network:
         halves = np.maximum(-(-n // STRIDE), 1) + 1
         first = np.concatenate([[0], np.cumsum(halves)])
         flat = np.zeros(first[-1] * STRIDE, np.uint8)
-        flat[np.arange(len(data)) + np.repeat(first[:-1] * STRIDE - off[:-1], n)] = data
+        if len(n) == 1:
+            flat[: len(data)] = data
+        else:
+            flat[np.arange(len(data)) + np.repeat(first[:-1] * STRIDE - off[:-1], n)] = data
         return flat.reshape(-1, STRIDE), first
 
     def answers(self, halves: np.ndarray) -> np.ndarray:
@@ -53,10 +60,16 @@ class Network:
         return (x[:-1] @ self.filters[:d]) + (x[1:] @ self.filters[d:]) + self.bias
 
     def pooled(self, halves: np.ndarray, first: np.ndarray) -> np.ndarray:
-        a = np.empty((len(halves), FILTERS), np.float32)
-        a[:-1] = self.answers(halves)
-        a[first[1:] - 1] = -np.inf  # the chunk from a text's empty half into the next text
-        return np.maximum(np.maximum.reduceat(a, first[:-1], axis=0), 0)
+        """Each text's largest answer of every filter (0 at least)."""
+        out = np.zeros((len(first) - 1, FILTERS), np.float32)
+        for lo in range(0, len(halves) - 1, SLICE):
+            hi = min(lo + SLICE, len(halves) - 1)
+            a = self.answers(halves[lo : hi + 1])
+            d, e = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi)  # texts with chunks in this slice
+            end = first[d + 1 : e + 1] - 1  # the chunk from a text's empty half into the next text
+            a[end[end < hi] - lo] = -np.inf
+            out[d:e] = np.maximum(out[d:e], np.maximum.reduceat(a, np.maximum(first[d:e], lo) - lo, axis=0))
+        return out
 
     def score(self, block: V.Block) -> np.ndarray:
         p = self.pooled(*self.layout(block.data, block.off))
@@ -108,11 +121,15 @@ class Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Network:
-    """Fit on labelled rows whose ``doc_id`` is ``learnable``; rows without a label or text are left out."""
+    """Fit on labelled rows whose ``doc_id`` is ``learnable``.
+
+    Rows without a label or text, and documents with labels of both kinds, are left out.
+    """
     known = labels.filter(learnable & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").limit(2 * sample).collect()  # `known` has `sample` rows
+    rows = docs.filter(F.octet_length("text") <= SAMPLE_TEXT).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `known` has `sample` rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     return Network().fit([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.float32))
 

@@ -25,6 +25,7 @@ BLOCK_BYTES = 1 << 21
 
 #: Segments beyond this many bytes are hashed one by one.
 LONG = 64
+_STEP = 1 << 16
 
 _U = np.uint64
 IS_SEP = np.zeros(256, dtype=bool)
@@ -107,8 +108,15 @@ def lanes(data: np.ndarray) -> np.ndarray:
 
 def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each segment ``start..end``."""
+    lane, out = lanes(data), np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), _STEP):
+        part = slice(lo, lo + _STEP)
+        out[part] = _segment_hash(data, lane, start[part], end[part])
+    return out
+
+
+def _segment_hash(data: np.ndarray, lane: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
-    lane = lanes(data)
     h = (size + 1).astype(np.uint64) * _SIZE
     h ^= lane[start] & _MASK[np.minimum(size, 8)]
     h = mix(h)
@@ -119,8 +127,7 @@ def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
         rest = rest[size[rest] > at]
     rest = np.flatnonzero(size > LONG)
     if len(rest):
-        raw = data.tobytes()
-        h[rest] = [xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+        h[rest] = [xxhash.xxh3_64_intdigest(data[a:z].tobytes()) for a, z in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
     return h
 
 
@@ -149,7 +156,9 @@ def words(block: Block, lower: bool = False, hashes: bool = True) -> Words:
     edge = edge[(edge > 0) & (edge < n)]
     first[edge] = inside[edge]
     last[edge - 1] = inside[edge - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end = np.flatnonzero(first), np.flatnonzero(last)
+    end += 1
+    del inside, first, last
     h = segment_hash(folded(block.data) if lower else block.data, start, end) if hashes and len(start) else np.zeros(len(start), np.uint64)
     return Words(start, end, h, np.searchsorted(start, block.off))
 

