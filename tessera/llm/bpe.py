@@ -10,7 +10,8 @@ bounded size.
 
 The vocabulary is a tokenizer file of the ``tokenizers`` library with a
 byte-level pre-tokenizer; special tokens inside a text are recognised as the
-library does.
+library does.  Null texts read as empty; equal texts have equal ids.  A text of any
+length is one row of a task, which needs some 40 bytes of memory a byte of it.
 """
 
 from __future__ import annotations

@@ -152,8 +152,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     ranked = rest.select("doc_id", "doc_tokens", "crc", "row", "part", "length").withColumn("in_part", F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1)
     ranked = ranked.join(before.select("part", "length", "before"), ["part", "length"]).withColumn("rank", F.col("in_part") + F.col("before"))
     # a rank falls in the last placement of its length that begins at or before it
-    begins = F.expr(f"transform(array_sort(collect_list(struct(rank0, first, offset0, each))), x -> x)")
-    by_length = plan.filter("n > 0").groupBy("length").agg(begins.alias("runs"))
+    by_length = plan.filter("n > 0").groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank0", "first", "offset0", "each"))).alias("runs"))
     at = F.broadcast(by_length)  # bounded by the window size: a few runs for each of its lengths
     tail = ranked.filter("length > 0").join(at, "length")
     tail = tail.withColumn("run", F.element_at(F.filter("runs", lambda r: r["rank0"] <= F.col("rank")), -1))

@@ -12,7 +12,11 @@ that shape and neighbours count as well.
 Decoding is Viterbi.  Where ``outside`` beats the other tags by more than all
 transitions together could win back, the best path goes through it for certain;
 so the sequence falls apart into the few runs of tokens in between, each
-decoded exactly, and ordinary text costs one table lookup a token.
+decoded exactly, and ordinary text costs one table lookup a token; of equally good
+paths it takes the one with the lower tags.
+
+Null texts read as empty and have no secrets; equal texts have equal spans.  A text of
+any length is one row of a task, which needs some 40 bytes of memory a byte of it.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
 from tessera.llm.common import texts_of
 
 SAMPLE = 1500
+SAMPLE_TEXT = 1 << 16
 CONTEXT = 40
 
 # The base patterns, and words that announce a secret.
@@ -292,13 +297,17 @@ def _examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on up to ``sample`` documents with a base match (by a hash of the id) and a third as many others."""
-    rows = docs.filter("text is not null").select("doc_id", "text")
+    """Fit on up to ``sample`` documents with a base match (by a hash of the id) and a third as many others.
+
+    Only texts of up to ``SAMPLE_TEXT`` bytes are learned from.  One pass over the texts
+    chooses the ids, each partition handing on its first ones only.
+    """
+    rows = docs.filter(F.octet_length("text") <= SAMPLE_TEXT).select("doc_id", "text")
     hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("text").contains("AKIA") | F.col("text").rlike("[0-9a-f]{16}")
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    marked = rows.select("doc_id", hit.alias("hit"))
-    ids = marked.filter("hit").orderBy(*order).limit(sample).select("doc_id").union(marked.filter("not hit").orderBy(*order).limit(sample // 3).select("doc_id"))
-    picked = rows.join(F.broadcast(ids), "doc_id").limit(2 * sample).collect()  # `ids` has 4/3 `sample` rows at most
+    marked = rows.select("doc_id", hit.alias("hit")).withColumn("place", F.row_number().over(Window.partitionBy("hit").orderBy(*order)))
+    ids = marked.filter(F.col("place") <= sample).filter(F.col("hit") | (F.col("place") <= sample // 3)).select("doc_id").distinct()
+    picked = rows.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(2 * sample).collect()  # `ids` has 4/3 `sample` rows at most
     return Field().fit(*_examples([r.text for r in sorted(picked, key=lambda r: (r.doc_id, r.text))]))
 
 
