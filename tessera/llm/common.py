@@ -38,16 +38,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts the lineage at files that outlive any executor.
+    This cuts the lineage at files that outlive any executor.  With ``tidy`` the
+    driver collects its garbage then, which lets Spark remove the shuffle files of
+    the steps that led here.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    if tidy:
+        spark._jvm.java.lang.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` gave and nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import columns, components, split_join, stored
+from tessera.llm.common import columns, components, discard, split_join, stored
 
 PERMUTATIONS = 128
 BITS = 2
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     band = reps.select("rep", "n", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
     hubs = stored(band.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("h1"), F.max(order).alias("h2")).filter("m > 1"))
-    members = stored(split_join(band, hubs, "key", "m"))
+    members = stored(split_join(band, hubs, "key", "m"), tidy=True)
 
     sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = members.select("rep", "n", F.explode(F.array("h1", "h2")).alias("hub")).filter("rep != hub.rep")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
 
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, s array<long>"))
+    full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, s array<long>"), tidy=True)
     deal = max(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         both = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
         return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
-    comps = stored(components(confirmed(near)))
+    comps = stored(components(confirmed(near)), tidy=True)
 
     def opened(comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components; those of up to three members have been compared in full."""
@@ -261,16 +261,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         mixed = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 != c2").select("key")
         return stored(rows.join(mixed, "key", "left_semi"))
 
-    # More hubs for the buckets that are still mixed: a member meets only hubs of other components.
     left = opened(comps)
-    hubs = left.groupBy("key").agg(F.count("*").alias("members"), *[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "c")).alias(f"h{j}") for j in range(HUBS)])
-    met = split_join(left, stored(hubs), "key", "members").select("rep", "n", F.explode(F.filter(F.array(*[f"h{j}" for j in range(HUBS)]), lambda h: h["c"] != F.col("c"))).alias("hub"))
-    met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-    comps = _joined(comps, stored(confirmed(met.filter(sizes).select("a", "b").distinct())))
-
-    cells = _in_blocks(opened(comps).select("key", "rep", "n", "c")).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
-    comps = _joined(comps, stored(cells.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct()))
-
+    if left.take(1):  # more hubs for the buckets that are still mixed: a member meets only hubs of other components
+        hubs = stored(left.groupBy("key").agg(F.count("*").alias("members"), *[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "c")).alias(f"h{j}") for j in range(HUBS)]))
+        met = split_join(left, hubs, "key", "members").select("rep", "n", F.explode(F.filter(F.array(*[f"h{j}" for j in range(HUBS)]), lambda h: h["c"] != F.col("c"))).alias("hub"))
+        met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+        comps = _joined(comps, stored(confirmed(met.filter(sizes).select("a", "b").distinct())))
+        left = opened(comps)
+    if left.take(1):
+        cells = _in_blocks(left.select("key", "rep", "n", "c")).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
+        comps = _joined(comps, stored(cells.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct(), tidy=True))
+
+    discard(full, members)
     out = sig.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left")
     out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))

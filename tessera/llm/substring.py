@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textvec as V
-from tessera.llm.common import columns, split_join, stored, texts_of, unused
+from tessera.llm.common import columns, discard, split_join, stored, texts_of, unused
 
 MINIMIZER = 8
 WORDS = 35
@@ -224,7 +224,9 @@ def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFr
 
     sources = texts_of(docs).join(flagged, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "hs", "copies")
     found = sources.mapInArrow(_edges(k, bits), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
-    found = stored(found.withColumn("cid", F.monotonically_increasing_id()))
+    found = stored(found.withColumn("cid", F.monotonically_increasing_id()), tidy=True)
+    discard(twice)
+    table = found
     n, distinct = found.agg(F.count("*"), F.count_distinct("digest")).first()
     if n != distinct:  # equal rows under an equal id: one of them stands for the class
         found = found.join(found.groupBy("digest").agg(F.min("cid").alias("cid")).select("cid"), "cid", "left_semi")
@@ -233,10 +235,10 @@ def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFr
     edges = each.groupBy("edge").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.bit_and("near").alias("all"), F.bit_or("near").alias("any")).filter("n > 1")
     differ = F.col("all").bitwiseXOR(F.col("any"))
     flag = F.when(F.shiftrightunsigned(differ, 32) != 0, 1).otherwise(0) + F.when(differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0, 2).otherwise(0)
-    edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")))
+    edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")), tidy=True)
     placed = split_join(each.select("cid", "pos", "edge"), edges, "edge", "n").groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
     rows = found.select("cid", "digest", "copies", "text").join(placed, "cid")
-    done = stored(rows.withColumn("drop", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS))
+    done = stored(rows.withColumn("drop", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS), tidy=True)
 
     paths = done.select("cid", "copies", F.explode(F.arrays_zip("start", "size", "path")).alias("x")).select("cid", "copies", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.col("x.path").alias("path"))
     alone = paths.groupBy("path").agg(F.sum("copies").alias("n"), F.min("cid").alias("cid"), F.min("start").alias("start"), F.min("size").alias("size")).filter("n < 2")  # one place: its own
@@ -245,6 +247,7 @@ def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFr
         drop = stored(_single(bad, each, edges, found, k))
         again = rows.join(drop, "cid").mapInArrow(_compact(k), _PATHS)
         done = stored(done.join(drop.select("cid"), "cid", "left_anti").unionByName(again))
+    discard(edges, table)
     whole = classes.filter("copies > 1").select("digest", F.lit(True).alias("whole"))
     cleaned = done.select("digest", "n_removed", "kept", "sha", "start", "size", "path").join(whole, "digest", "full_outer")
     return profile, cleaned
