@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, packing, quality_cnn, secrets_crf, substring
-from tessera.llm.common import remainder, stored
+from tessera.llm.common import columns, remainder, stored
 
 
 def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
     if "n_chars" not in like.columns:
         return docs
     kind = like.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(like.columns)
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*columns(like))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packed)]
 
-#: SQL can't express the learned stages; tests hold the stages against brute force.
+#: SQL can't express the learned stages; a test compares every stage with a plain version on the small table.
 ORACLE_SQL = None
 
 
