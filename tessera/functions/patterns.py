@@ -15,6 +15,7 @@ OBFUSCATED = (
     r"(?i)([a-zA-Z0-9._-]+)\s+at\s+([a-zA-Z0-9.-]+)\s+dot\s+([a-zA-Z]{2,})",
     r"(?i)([a-zA-Z0-9._-]+)&#64;([a-zA-Z0-9.-]+)&#46;([a-zA-Z]{2,})",
     r"(?i)([a-zA-Z0-9._-]+)＠([a-zA-Z0-9.-]+)．([a-zA-Z]{2,})",
+    r"(?i)([a-zA-Z0-9._-]+)\s*@\s*([a-zA-Z0-9.-]+)\s*\.\s*([a-zA-Z0-9.-]+)\s*\.\s*([a-zA-Z]{2,})",
 )
 REPUTABLE = (".edu", ".gov", ".org")
 GENERIC = ("info", "contact", "admin", "support", "noreply")

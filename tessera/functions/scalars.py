@@ -210,11 +210,13 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", " ")
 
 
-def may_crawl(url: Column, base: Column, depth: Column, most_depth: int = 3) -> Column:
-    """Same host, below the depth limit, no excluded file type, no page number over 100."""
+def may_crawl(url: Column, base: Column, depth: Column, most_depth: int = 3, allowed: tuple[str, ...] = (), excluded: tuple[str, ...] = (), extensions: tuple[str, ...] = P.EXCLUDED_EXTENSIONS) -> Column:
+    """Same host, below the depth limit, a host among the ``allowed`` ones (if there are any) and not ``excluded``, no excluded file type, no page number over 100."""
+    host = F.try_parse_url(url, F.lit("AUTHORITY"))
+    listed = (host.isin(*allowed) if allowed else F.lit(True)) & (~host.isin(*excluded) if excluded else F.lit(True))
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
     page = F.try_parse_url(url, F.lit("QUERY"), F.lit("page")).try_cast("int")
-    return (depth < most_depth) & F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")) == base, F.lit(False)) & ~_any(path.endswith(x) for x in P.EXCLUDED_EXTENSIONS) & F.coalesce(page <= 100, F.lit(True))
+    return (depth < most_depth) & F.coalesce((host == base) & listed, F.lit(False)) & ~reduce(lambda a, b: a | b, [path.endswith(x) for x in extensions], F.lit(False)) & F.coalesce(page <= 100, F.lit(True))
 
 
 def is_url(url: Column) -> Column:
@@ -222,6 +224,6 @@ def is_url(url: Column) -> Column:
 
 
 def looks_like_name(c: Column) -> Column:
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     ok = F.length(c).between(2, 50) & c.rlike(r"^[A-Za-z\s.']+$") & F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
     return F.coalesce(ok, F.lit(False))

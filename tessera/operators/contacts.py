@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
 from tessera.functions import scalars as S
+from tessera.scratch import stored
 
 
 def scan_emails(rows: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -23,12 +24,17 @@ def scan_emails(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return found.select(*keys, "ord", F.lower("_raw").alias("email"), context.alias("context"), F.lit("text_pattern").alias("method"), F.lit(0.75).alias("confidence"))
 
 
+def _address(parts: int):
+    return lambda z: F.lower(F.concat(z["0"], F.lit("@"), F.concat_ws(".", *[z[str(g)] for g in range(1, parts)])))
+
+
 def deobfuscate(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """Addresses hidden by ``[at]``, ``(dot)`` and the like: ``keys, rule, email``."""
     rules = []
     for i, p in enumerate(P.OBFUSCATED):
-        groups = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)) for g in (1, 2, 3)]
-        joined = F.transform(F.arrays_zip(*groups), lambda z: F.lower(F.concat(z["0"], F.lit("@"), z["1"], F.lit("."), z["2"])))
+        groups = range(1, p.count("(") - p.count("(?") - p.count(r"\(") + 1)
+        found = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)) for g in groups]
+        joined = F.transform(F.arrays_zip(*found), _address(len(found)))
         rules.append(F.struct(F.lit(i).alias("rule"), joined.alias("emails")))
     out = rows.select(*keys, F.explode(F.array(*rules)).alias("r")).select(*keys, "r.rule", F.explode("r.emails").alias("email"))
     return out.filter(S.is_email_strict(F.col("email")))
@@ -121,7 +127,7 @@ def export_rows(contacts: DataFrame) -> DataFrame:
 
 def crm_leads(contacts: DataFrame) -> DataFrame:
     """Lead records as a map without empty fields."""
-    words = F.filter(F.split(F.coalesce("name", F.lit("")), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce("name", F.lit("")), r"(?U)\s+"), lambda w: w != "")
     last = F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, 1000), " ")).otherwise("Unknown")
     fields = {"Email": F.col("email"), "FirstName": F.get(words, F.lit(0)), "LastName": last, "Title": F.col("title"), "Company": F.col("company"), "Phone": F.col("phone"), "LeadSource": F.lit("Web Scraping"), "Description": F.concat(F.lit("Extracted from: "), F.coalesce("source_url", F.lit("")))}
     return contacts.select("email", F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda k, v: F.coalesce(v, F.lit("")) != "").alias("lead"))
@@ -129,17 +135,20 @@ def crm_leads(contacts: DataFrame) -> DataFrame:
 
 def crm_contacts(contacts: DataFrame) -> DataFrame:
     """Contact properties as a map without empty fields."""
-    words = F.filter(F.split(F.coalesce("name", F.lit("")), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce("name", F.lit("")), r"(?U)\s+"), lambda w: w != "")
     fields = {"email": F.col("email"), "firstname": F.get(words, F.lit(0)), "lastname": F.array_join(F.slice(words, 2, 1000), " "), "jobtitle": F.col("title"), "company": F.col("company"), "phone": F.col("phone"), "hs_lead_status": F.lit("NEW"), "lifecyclestage": F.lit("lead")}
     return contacts.select("email", F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda k, v: F.coalesce(v, F.lit("")) != "").alias("properties"))
 
 
 def crawl_levels(edges: DataFrame, seeds: DataFrame, most_depth: int = 3) -> DataFrame:
-    """``node, depth``: breadth-first levels over ``edges(src, dst)`` from ``seeds(node)``, each node once."""
+    """``node, depth``: breadth-first levels over ``edges(src, dst)`` from ``seeds(node)``, each node once.
+
+    Every level is a stored table, so the plan doesn't grow with depth.
+    """
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    level = seen
+    level = seen = stored(seen)
     for depth in range(1, most_depth):
         step = level.join(edges, level.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        level = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        level = stored(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(level)
     return seen

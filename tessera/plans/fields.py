@@ -138,7 +138,7 @@ def _html(spark, sf_dir, html: str):
  case c_custkey % 3 when 0 then 'Head' else 'Clerk' end as title, case c_custkey % 3 when 0 then '555-123-4567' end as phone, case c_custkey % 3 when 0 then 'Acme ' else 'Org ' end || c_custkey as company from customer where c_custkey % 3 < 2""")
 def markup_fields(spark, sf_dir):
     """Fields from schema.org persons, cards and neighbours."""
-    return X.read_markup_fields(_html(spark, sf_dir, _MARKED))
+    return X.read_markup_fields(_html(spark, sf_dir, _MARKED)).drop("error")
 
 
 @query("""select c_custkey as page_id, 0 as ord, case c_custkey % 3 when 0 then 'ann@x' else 'bob@x' end || c_custkey || '.edu' as email, case c_custkey % 3 when 0 then 'Ann Lee' else 'Bob Stone' end as name, case c_custkey % 3 when 0 then 'Professor' else 'Dr.' end as title,
@@ -146,7 +146,7 @@ def markup_fields(spark, sf_dir):
 def staff_directory(spark, sf_dir):
     """Entries of staff lists."""
     rows = "case c_custkey % 3 when 0 then concat('<li><b>Ann Lee</b> Professor <i>ann@x', c_custkey, '.edu</i></li>') when 1 then concat('<li>Dr. Bob Stone bob@x', c_custkey, '.edu</li>') else '<li>none</li>' end"
-    return X.read_staff(_html(spark, sf_dir, f"concat('<div class=\"staff-list\"><ul>', {rows}, '</ul></div>')"))
+    return X.read_staff(_html(spark, sf_dir, f"concat('<div class=\"staff-list\"><ul>', {rows}, '</ul></div>')")).drop("error")
 
 
 @query("""select c_custkey as page_id, 0 as ord, case c_custkey % 3 when 0 then 'h' when 1 then 'hidden.user.number' else 's' end || c_custkey || '@z.com' as email, case c_custkey % 3 when 0 then 'css_hidden' when 1 then 'base64_decoded' else 'javascript' end as method,
@@ -154,7 +154,7 @@ def staff_directory(spark, sf_dir):
 def hidden_emails(spark, sf_dir):
     """Addresses behind styles, base64 and scripts."""
     html = "case c_custkey % 3 when 0 then concat('<b style=\"display:none\">h', c_custkey, '@z.com</b>') when 1 then concat('<b>', base64(cast(concat('hidden.user.number', c_custkey, '@z.com') as binary)), '</b>') else concat('<script>x = ''s', c_custkey, ''' + ''@'' + ''z.com''</script>') end"
-    return X.read_hidden(_html(spark, sf_dir, html)).drop("context")
+    return X.read_hidden(_html(spark, sf_dir, html)).drop("context", "error")
 
 
 @query()

@@ -12,7 +12,7 @@ from tessera.sources.html import read_pages
 
 def hits(pages: DataFrame) -> DataFrame:
     """Email hits of all pages with the fields read from their context."""
-    rows = read_pages(pages).select("page_id", F.col("url").alias("source_url"), F.posexplode("hits").alias("ord", "h")).select("page_id", "source_url", "ord", "h.*")
+    rows = read_pages(pages, ("hits",)).select("page_id", F.col("url").alias("source_url"), F.posexplode("hits").alias("ord", "h")).select("page_id", "source_url", "ord", "h.*")
     email, text = F.col("email"), F.col("fields_text")
     read = lambda c: F.when(text.isNotNull(), c).otherwise("")
     inferred = lambda c, other: F.when(F.col("fallback"), other).otherwise(read(c))
@@ -43,5 +43,11 @@ def site_contacts(pages: DataFrame) -> DataFrame:
     return C.deduplicate(found, "site", order="_o").drop("_o")
 
 
+def process_results(contacts: DataFrame, order: str, validate: bool = True) -> DataFrame:
+    """Contacts of a crawl as they are exported: validated (if asked for), one per address, cleaned."""
+    found = C.with_validated(contacts) if validate else contacts
+    return C.export_rows(C.deduplicate(found, order=order))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    return read_pages(pages).select("page_id", F.col("url").alias("src"), F.posexplode("links").alias("ord", "dst"))
+    return read_pages(pages, ("links",)).select("page_id", F.col("url").alias("src"), F.posexplode("links").alias("ord", "dst"))

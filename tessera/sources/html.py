@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import partial
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import unquote, urldefrag, urljoin
@@ -28,7 +29,7 @@ _ONCLICK = [re.compile(p, re.I) for p in (rf"mailto:({_PLAIN})", rf"'({_PLAIN})'
 
 
 _CUE = re.compile(r"\bat\b|＠|&", re.I)  # what the rules for hidden addresses need
-_MARKS = (("@",), ("[at]", "[dot]"), ("(at)", "(dot)"), ("at", "dot"), ("&#64;",), ("＠",))  # and what each of them needs
+_MARKS = (("@",), ("[at]", "[dot]"), ("(at)", "(dot)"), ("at", "dot"), ("&#64;",), ("＠",), ("@",))  # and what each of them needs
 
 
 class Node:
@@ -230,7 +231,7 @@ def fallback_hits(root: Node, html: str) -> list[tuple]:
     low = text.lower()
     for mark, pattern in zip(_MARKS, P.OBFUSCATED, strict=True):
         for m in re.finditer(pattern, text) if all(x in low for x in mark) else ():
-            out.append((f"{m[1]}@{m[2]}.{m[3]}".lower(), "deobfuscation", 0.85, _context(text, m.start(), m.end())))
+            out.append((f"{m[1]}@{'.'.join(m.groups()[1:])}".lower(), "deobfuscation", 0.85, _context(text, m.start(), m.end())))
     first: dict[str, tuple] = {}
     for hit in out:
         if is_email_strict(hit[0]):
@@ -242,15 +243,17 @@ _HIT = pa.struct([("email", pa.string()), ("method", pa.string()), ("confidence"
 SCHEMA = "page_id long, url string, text string, links array<string>, hits array<struct<email:string,method:string,confidence:double,context:string,fields_text:string,fallback:boolean>>, error string"
 
 
-def _pages(batches):
+def _pages(batches, wanted: tuple[str, ...] = ("text", "links", "hits")):
     for batch in batches:
         ids, urls, pages = (batch.column(i).to_pylist() for i in range(3))
         texts, all_links, hits, errors = [], [], [], []
         for url, html in zip(urls, pages, strict=True):
             try:
                 root = parse(html or "")
-                found = [(*h, False) for h in (structured_hits(root) if has_at(html or "") else ())] or [(*h, True) for h in fallback_hits(root, html or "")]
-                row = root.text(" ").strip(), links(root, url or ""), found, None
+                found = []
+                if "hits" in wanted:
+                    found = [(*h, False) for h in (structured_hits(root) if has_at(html or "") else ())] or [(*h, True) for h in fallback_hits(root, html or "")]
+                row = root.text(" ").strip() if "text" in wanted else None, links(root, url or "") if "links" in wanted else [], found, None
             except (ValueError, AssertionError, RecursionError) as e:  # one broken page is set aside, not the job
                 row = None, [], [], repr(e)[:200]
             for to, x in zip((texts, all_links, hits, errors), row, strict=True):
@@ -263,6 +266,26 @@ def _pages(batches):
         )
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Parse ``page_id, url, html`` once: ``SCHEMA`` lists what comes of it.  Null pages are empty."""
-    return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(_pages, SCHEMA)
+def read_pages(pages: DataFrame, wanted: tuple[str, ...] = ("text", "links", "hits")) -> DataFrame:
+    """Parse ``page_id, url, html`` once: ``SCHEMA`` lists what comes of it.  Null pages are empty.
+
+    Columns that aren't ``wanted`` are left empty, and the work for them isn't done.
+    """
+    return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(partial(_pages, wanted=wanted), SCHEMA)
+
+
+def _plain(batches):
+    for batch in batches:
+        out = []
+        for html in batch.column(1).to_pylist():
+            try:
+                text = unescape(parse(html or "").text())
+            except (ValueError, AssertionError, RecursionError):
+                text = unescape(re.sub("<[^>]+>", "", html))
+            out.append(re.sub(r"\s+", " ", text).strip())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_id", "text"])
+
+
+def read_text(pages: DataFrame) -> DataFrame:
+    """``page_id, text``: what a page says, without scripts and styles, entities resolved and white space collapsed."""
+    return pages.selectExpr("cast(page_id as long) as page_id", "html").mapInArrow(_plain, "page_id long, text string")

@@ -244,16 +244,18 @@ def _rows(batches, kind: str, schema: pa.Schema):
             try:
                 page = _Page(html)
                 found = hidden(page, html) if kind == "hidden" else staff(page) if kind == "staff" else markup_fields(page)
-            except (ValueError, AssertionError, RecursionError):  # ``html.read_pages`` names the error
+            except (ValueError, AssertionError, RecursionError) as e:  # one broken page is set aside, not the job
+                rows.append((page_id, *[None] * (len(schema) - 2), repr(e)[:200]))
                 continue
-            rows += [(page_id, i, *x) for i, x in enumerate(found)]
+            rows += [(page_id, i, *x, None) for i, x in enumerate(found)]
         columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _read(pages: DataFrame, kind: str, columns: str) -> DataFrame:
+    """What a page gives, a row each; a page that can't be read gives one row with its ``error`` alone."""
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    ddl = f"page_id long, ord int, {columns}"
+    ddl = f"page_id long, ord int, {columns}, error string"
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in ddl.split(", ")])
     return pages.selectExpr("cast(page_id as long) as page_id", "cast(html as string) as html").mapInArrow(partial(_rows, kind=kind, schema=schema), ddl)
 
