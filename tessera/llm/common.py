@@ -1,66 +1,15 @@
-"""What several operators share: durable scratch tables, row splits, connected components."""
+"""What several operators share: joins with common keys, row splits, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.scratch import discard, shared_dir, stored  # noqa: F401
+
 #: Keys with at least this part of all rows are common; there can't be more than ``COMMON`` of them.
 COMMON = 4096
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees.
-
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is made instead.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _local.setdefault("root", tempfile.mkdtemp(prefix="tessera-"))
-    path = f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM has gone; the folder's owner cleans it up
-        pass
-
-
-def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    This cuts the lineage at files that outlive any executor.  With ``tidy`` the
-    driver collects its garbage then, which lets Spark remove the shuffle files of
-    the steps that led here.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    if tidy:
-        spark._jvm.java.lang.System.gc()
-    table = spark.read.schema(df.schema).parquet(path)
-    table.scratch = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``stored`` gave and nothing reads any more."""
-    for table in tables:
-        _remove(table.sparkSession, table.scratch)
-
-
 def texts_of(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``, so that other columns can have any name."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
