@@ -304,7 +304,8 @@ def site_contacts(spark, sf_dir):
     return pages_plan.site_contacts(table(spark, sf_dir, "pages")).drop("context")
 
 
-@query()
+@query("""select page_id, url as src, cast(ord - 1 as int) as ord, regexp_extract(url, '^[a-z]+://[^/?#]+') || replace(regexp_replace(href, '#.*$', ''), '&amp;', '&') as dst
+from (select page_id, url, generate_subscripts(found, 1) as ord, unnest(found) as href from (select page_id, url, regexp_extract_all(html, '<a [^>]*href="(/[^"]*)"', 1) as found from pages))""")
 def page_links(spark, sf_dir):
     """Absolute links of all pages."""
     return pages_plan.link_edges(table(spark, sf_dir, "pages"))

@@ -10,7 +10,6 @@ from tessera.operators import contacts as C
 from tessera.operators import matcher as M
 from tessera.operators import robots as R
 from tessera.plans.catalog import _SCAN, _SQL_EMAIL, P, query, table
-from tessera.sources import html as H
 from tessera.sources import people as X
 
 _NAMES = "case c_custkey % 9 when 0 then 'Ada Byron' when 1 then 'ada byron' when 2 then 'Info Desk' when 3 then 'Ada' when 4 then 'Ann Lee Stone Roe' when 5 then 'University Of Ghent' when 6 then 'Team 1234567 X' when 7 then 'Dr Bob Stone' end"
@@ -160,7 +159,5 @@ def hidden_emails(spark, sf_dir):
 @query()
 def matched_contacts(spark, sf_dir):
     """Every page's addresses with fields from the text near them, the markup, labels and the address."""
-    pages = table(spark, sf_dir, "pages")
-    parsed = H.read_pages(pages).select("page_id", "text", F.explode("hits").alias("h")).select("page_id", "text", F.lower("h.email").alias("email"), "h.context")
-    marked = X.read_markup_fields(pages).select("page_id", "email", F.struct("name", "title", "phone", "company").alias("markup"))
-    return M.match_contacts(parsed.join(marked, ["page_id", "email"], "left"), markup="markup").drop("text", "markup", "context").distinct()
+    found = X.read_hits_with_markup(table(spark, sf_dir, "pages")).filter("error is null")
+    return M.match_contacts(found, markup="markup").drop("ord", "text", "markup", "context", "error").distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from tessera.functions import patterns as P
 from tessera.operators import matcher as M
+from tessera.sources import html as H
 from tessera.sources.html import Node, has_at, is_email, is_email_strict, parse
 
 # Fixed values.
@@ -260,6 +261,32 @@ def _read(pages: DataFrame, kind: str, columns: str) -> DataFrame:
     return pages.selectExpr("cast(page_id as long) as page_id", "cast(html as string) as html").mapInArrow(partial(_rows, kind=kind, schema=schema), ddl)
 
 
+def _hits_with_markup(batches, schema: pa.Schema):
+    for batch in batches:
+        rows = []
+        for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            html = html or ""
+            try:
+                page = _Page(html)
+                hits = (H.structured_hits(page.root) if has_at(html) else []) or H.fallback_hits(page.root, html)
+                marked = {x[0]: dict(zip(_FIELDS, x[1:], strict=True)) for x in markup_fields(page)} if hits else {}
+            except (ValueError, AssertionError, RecursionError) as e:
+                rows.append((page_id, None, None, None, None, None, repr(e)[:200]))
+                continue
+            text = page.text(page.root, " ").strip()
+            rows += [(page_id, i, text, h[0].lower(), h[3], marked.get(h[0].lower()), None) for i, h in enumerate(hits)]
+        columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def read_hits_with_markup(pages: DataFrame) -> DataFrame:
+    """``page_id, ord, text, email, context, markup, error``: a page's hits and what its markup gives each, from one parse."""
+    markup = pa.struct([(f, pa.string()) for f in _FIELDS])
+    schema = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("text", pa.string()), ("email", pa.string()), ("context", pa.string()), ("markup", markup), ("error", pa.string())])
+    ddl = f"page_id long, ord int, text string, email string, context string, markup struct<{','.join(f'{f}:string' for f in _FIELDS)}>, error string"
+    return pages.selectExpr("cast(page_id as long) as page_id", "cast(html as string) as html").mapInArrow(partial(_hits_with_markup, schema=schema), ddl)
+
+
 def read_markup_fields(pages: DataFrame) -> DataFrame:
     """``page_id, ord, email`` and the ``name, title, phone, company`` its markup gives it (null: none)."""
     return _read(pages, "fields", "email string, name string, title string, phone string, company string")
