@@ -33,18 +33,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
+#: Lets Spark remove a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts the lineage at files that outlive any executor.  With ``tidy`` the
-    driver collects its garbage then, which lets Spark remove the shuffle files of
-    the steps that led here.
+    This cuts the lineage at files that outlive any executor; the shuffle files of
+    the steps that led here go.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    if tidy:
-        spark._jvm.java.lang.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table
