@@ -36,7 +36,7 @@ from tessera.llm import textvec as V
 from tessera.llm.common import texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -256,7 +256,7 @@ class Codec:
         return self.offsets[ids.astype(np.int64) + 1] - self.offsets[ids]
 
 
-_SLOTS = 1 << 20
+_SLOTS = 1 << 19
 
 
 class _Pool:
@@ -383,7 +383,7 @@ def _readable(data: bytes) -> bytes:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``; null texts read as empty (no ids)."""
-    return texts_of(docs).mapInArrow(_round_trip(path or vocabulary_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(V.lean(_round_trip(path or vocabulary_path())), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -396,7 +396,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [c.encode(x or "").astype(np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs).mapInArrow(V.lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -409,4 +409,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             text = [c.decode(np.array(x or [], np.uint32)).tobytes().decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(V.lean(run), "doc_id long, text string")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.textvec import lean
 from tessera.scratch import discard, shared_dir, stored  # noqa: F401
 
 #: Keys with at least this part of all rows are common; there can't be more than ``COMMON`` of them.
@@ -20,6 +22,13 @@ def columns(docs: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def mapped(docs: DataFrame, run, *more: T.StructField) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names; ``run`` gives them back in their order, and ``more`` behind them."""
+    places = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    out = docs.toDF(*[f.name for f in places]).mapInArrow(lean(run), T.StructType([*places, *more]))
+    return out.toDF(*docs.columns, *[f.name for f in more])
+
+
 def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of many rows a key with a stored ``table`` of one row a key.
 

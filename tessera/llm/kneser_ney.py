@@ -326,7 +326,7 @@ def train(docs: DataFrame) -> Model:
         ends = int(counts[keys == END].sum())
         return pa.table({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())], "texts": [ends]})
 
-    rows = texts.mapInArrow(_word_counts(model), "shard int, key binary, count binary")
+    rows = texts.mapInArrow(V.lean(_word_counts(model)), "shard int, key binary, count binary")
     found = rows.repartitionById(model.word_shards, F.col("shard")).groupBy("shard").applyInArrow(words, "shard int, types long, tokens long, texts long").collect()  # a row per shard
     types = np.zeros(model.word_shards, np.int64)
     types[[r.shard for r in found]] = [r.types for r in found]
@@ -372,7 +372,7 @@ def train(docs: DataFrame) -> Model:
         own = [(s, n) for s, n in zip(table.column("pair_shard").to_pylist(), table.column("pairs").to_pylist(), strict=True) if s >= 0]
         return pa.table({"shard": pa.array([shard], pa.int32()), "size": [size], "of": pa.array([[s for s, _ in own]], pa.list_(pa.int64())), "entries": pa.array([[n for _, n in own]], pa.list_(pa.int64())), "pairs": [k], "words": [[int((c == j).sum()) for j in (1, 2, 3, 4)]], "continuations": [int(c.sum())], "more": [int((c > 2).sum())]})
 
-    rows = texts.mapInArrow(_pair_counts(model), "shard int, key binary, count binary")
+    rows = texts.mapInArrow(V.lean(_pair_counts(model)), "shard int, key binary, count binary")
     rows = rows.repartitionById(model.shards, F.col("shard")).groupBy("shard").applyInArrow(pairs, _STATS)
     rows = rows.groupBy("shard").applyInArrow(stats, "shard int, size long, of array<long>, entries array<long>, pairs array<long>, words array<long>, continuations long, more long").collect()  # a row per shard
     for r in rows:
@@ -438,4 +438,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base.astype(float)), pa.array(logs.astype(float)), pa.array(10.0 ** (-logs.astype(float) / np.maximum(n, 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return texts_of(docs).mapInArrow(V.lean(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

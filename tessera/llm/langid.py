@@ -259,4 +259,4 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[cat(best)], pa.string()), pa.array(cat(score), pa.float64()), pa.array(cat(rejected).astype(bool), pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return texts_of(docs).mapInArrow(V.lean(run), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, least = band_rows(percent / 100), least_estimate(percent / 100)
-    sig = stored(docs.mapInArrow(_signatures(shingle, rows), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
+    sig = stored(docs.mapInArrow(V.lean(_signatures(shingle, rows)), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
     sets_of = sig.filter("set_id is not null and doc_id is not null")
     reps = sets_of.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = stored(reps)
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     band = reps.select("rep", "n", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("rep").alias("h"), "rep", "n")
     hubs = stored(band.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("h1"), F.max(order).alias("h2")).filter("m > 1"))
-    members = stored(split_join(band, hubs, "key", "m"), tidy=True)
+    members = stored(split_join(band, hubs, "key", "m"))
 
     sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     near = members.select("rep", "n", F.explode(F.array("h1", "h2")).alias("hub")).filter("rep != hub.rep")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
 
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, s array<long>"), tidy=True)
+    full = stored(docs.join(involved, "doc_id", "left_semi").mapInArrow(V.lean(_full_sets(shingle)), "doc_id long, s array<long>"))
     deal = max(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -253,13 +253,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         both = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
         return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
-    comps = stored(components(confirmed(near)), tidy=True)
+    comps = stored(components(confirmed(near)))
 
     def opened(comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components; those of up to three members have been compared in full."""
-        rows = members.filter("m > 3").select("key", "rep", "n", "m").join(comps.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 != c2").select("key")
-        return stored(rows.join(mixed, "key", "left_semi"))
+        rows = stored(members.filter("m > 3").select("key", "rep", "n", "m").join(comps.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")))
+        mixed = stored(rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members")).filter("c1 != c2").select("key", "members"))
+        out = stored(split_join(rows, mixed, "key", "members").drop("members"))
+        discard(rows, mixed)
+        return out
 
     left = opened(comps)
     if left.take(1):  # more hubs for the buckets that are still mixed: a member meets only hubs of other components
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         left = opened(comps)
     if left.take(1):
         cells = _in_blocks(left.select("key", "rep", "n", "c")).join(reps.select("rep", "sig", "bands"), "rep").join(full.select(F.col("doc_id").alias("rep"), F.array_sort("s").alias("s")), "rep").filter(F.size("s") == F.col("n"))
-        comps = _joined(comps, stored(cells.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct(), tidy=True))
+        comps = _joined(comps, stored(cells.groupBy("key", "i", "j").applyInArrow(_blockwise(percent, least), "a long, b long").distinct()))
 
     discard(full, members)
     out = sig.select("doc_id", "n_shingles", "set_id").join(reps.select("set_id", "rep"), "set_id", "left")

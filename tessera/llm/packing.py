@@ -135,7 +135,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     documents after those that best-fit decreasing made.  Null and empty texts
     are the separator alone.  Rows with equal ids are separate documents.
     """
-    rows = texts_of(docs).mapInArrow(_pieces(path or bpe.vocabulary_path(), window), "doc_id long, doc_tokens long, crc array<long>")
+    rows = texts_of(docs).mapInArrow(V.lean(_pieces(path or bpe.vocabulary_path(), window)), "doc_id long, doc_tokens long, crc array<long>")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows.withColumn("part", F.spark_partition_id()))
     rest = rows.withColumn("length", F.col("doc_tokens") % window)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import texts_of
+from tessera.llm.common import mapped, texts_of
 
 SAMPLE = 4000
 SAMPLE_TEXT = 1 << 16
@@ -145,7 +145,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts_of(docs).mapInArrow(V.lean(run), "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
@@ -159,4 +159,4 @@ def keep(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
             s = [net.score(b) for b in V.blocks(batch.column(place), 1 << 18)]
             yield batch.filter(pa.array(np.concatenate(s) >= least)) if s else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

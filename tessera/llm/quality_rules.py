@@ -229,7 +229,7 @@ def references(docs: DataFrame) -> References:
     More than ``LANGUAGES`` of them are refused with an error, as a few numbers
     of each reach the driver.
     """
-    found = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_counts, "lang string, kind byte, key long, n long")
+    found = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(V.lean(_counts), "lang string, kind byte, key long, n long")
     found = found.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")  # of each partition only the most frequent words are moved
     rows = found.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= COMMON).drop("place").limit((LANGUAGES + 1) * (COMMON + _CLASSES + 1)).collect()
@@ -278,4 +278,4 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, class_limit: floa
     """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))  # a few numbers a language
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.mapInArrow(_judge(shared, min_words, class_limit, word_limit), _OUT)
+    return rows.mapInArrow(V.lean(_judge(shared, min_words, class_limit, word_limit)), _OUT)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import texts_of
+from tessera.llm.common import mapped, texts_of
 
 SAMPLE = 1500
 SAMPLE_TEXT = 1 << 16
@@ -373,7 +373,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts_of(docs).mapInArrow(V.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
@@ -399,4 +399,4 @@ def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
                     out[i] = text
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if j == place else c for j, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

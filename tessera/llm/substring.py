@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textvec as V
-from tessera.llm.common import columns, discard, split_join, stored, texts_of, unused
+from tessera.llm.common import columns, discard, mapped, split_join, stored, texts_of, unused
 
 MINIMIZER = 8
 WORDS = 35
@@ -206,7 +206,7 @@ def _single(bad: DataFrame, each: DataFrame, edges: DataFrame, found: DataFrame,
     inside = stored(inside.join(edges.select("edge"), "edge", "left_semi"))
     places = each.join(inside.select("edge").distinct(), "edge", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("at"))
     windows = found.select("cid", "text", "copies").join(places, "cid").select("cid", "text", "at", "copies")
-    windows = stored(windows.mapInArrow(_windows_at(k), "cid long, copies long, pos int, path binary"))
+    windows = stored(windows.mapInArrow(V.lean(_windows_at(k)), "cid long, copies long, pos int, path binary"))
     twice = windows.groupBy("path").agg(F.sum("copies").alias("n")).filter("n > 1").select("path")
     good = windows.join(twice, "path", "left_semi").select("cid", "pos")
     return inside.join(good, ["cid", "pos"], "left_anti").groupBy("cid").agg(F.collect_list("pos").alias("drop"))
@@ -214,7 +214,7 @@ def _single(bad: DataFrame, each: DataFrame, edges: DataFrame, found: DataFrame,
 
 def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(profile, cleaned)``: a row per text, and a row per class that loses words."""
-    profile = stored(texts_of(docs).mapInArrow(_profile(k), "doc_id long, digest binary, n_words long, sha string, mins array<long>, weight array<byte>"))
+    profile = stored(texts_of(docs).mapInArrow(V.lean(_profile(k)), "doc_id long, digest binary, n_words long, sha string, mins array<long>, weight array<byte>"))
     classes = profile.filter(F.col("n_words") >= k).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("weight").alias("weight"))
     classes = stored(classes)
     listed = classes.select("digest", F.explode(F.arrays_zip("mins", "weight")).alias("x")).select("digest", F.col("x.mins").alias("h"), F.col("x.weight").alias("weight"))
@@ -223,8 +223,8 @@ def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFr
     flagged = flagged.join(classes.select("digest", "copies", "rep"), "digest")
 
     sources = texts_of(docs).join(flagged, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "hs", "copies")
-    found = sources.mapInArrow(_edges(k, bits), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
-    found = stored(found.withColumn("cid", F.monotonically_increasing_id()), tidy=True)
+    found = sources.mapInArrow(V.lean(_edges(k, bits)), "digest binary, copies long, text string, pos array<int>, edge array<long>, near array<long>")
+    found = stored(found.withColumn("cid", F.monotonically_increasing_id()))
     discard(twice)
     table = found
     n, distinct = found.agg(F.count("*"), F.count_distinct("digest")).first()
@@ -235,17 +235,17 @@ def _classes(docs: DataFrame, k: int, bits: int = 64) -> tuple[DataFrame, DataFr
     edges = each.groupBy("edge").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.bit_and("near").alias("all"), F.bit_or("near").alias("any")).filter("n > 1")
     differ = F.col("all").bitwiseXOR(F.col("any"))
     flag = F.when(F.shiftrightunsigned(differ, 32) != 0, 1).otherwise(0) + F.when(differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0, 2).otherwise(0)
-    edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")), tidy=True)
+    edges = stored(edges.select("edge", "n", flag.cast("byte").alias("flag")))
     placed = split_join(each.select("cid", "pos", "edge"), edges, "edge", "n").groupBy("cid").agg(F.collect_list("pos").alias("pos"), F.collect_list("flag").alias("flag"))
     rows = found.select("cid", "digest", "copies", "text").join(placed, "cid")
-    done = stored(rows.withColumn("drop", F.lit(None).cast("array<int>")).mapInArrow(_compact(k), _PATHS), tidy=True)
+    done = stored(rows.withColumn("drop", F.lit(None).cast("array<int>")).mapInArrow(V.lean(_compact(k)), _PATHS))
 
     paths = done.select("cid", "copies", F.explode(F.arrays_zip("start", "size", "path")).alias("x")).select("cid", "copies", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.col("x.path").alias("path"))
     alone = paths.groupBy("path").agg(F.sum("copies").alias("n"), F.min("cid").alias("cid"), F.min("start").alias("start"), F.min("size").alias("size")).filter("n < 2")  # one place: its own
     bad = stored(alone.select("cid", "start", "size"))
     if bad.take(1):
         drop = stored(_single(bad, each, edges, found, k))
-        again = rows.join(drop, "cid").mapInArrow(_compact(k), _PATHS)
+        again = rows.join(drop, "cid").mapInArrow(V.lean(_compact(k)), _PATHS)
         done = stored(done.join(drop.select("cid"), "cid", "left_anti").unionByName(again))
     discard(edges, table)
     whole = classes.filter("copies > 1").select("digest", F.lit(True).alias("whole"))
@@ -273,11 +273,11 @@ def repeated_passages(docs: DataFrame, k: int = WORDS, bits: int = 64) -> DataFr
     )
 
 
-def _with_digest(name: str):
+def _with_digest(name: str, place: int):
     def run(batches):
         for batch in batches:
             ids = []
-            for block in V.blocks(batch.column(batch.schema.get_field_index("text"))):
+            for block in V.blocks(batch.column(place)):
                 raw = block.data.tobytes()
                 ids += [_digest(_joined(raw[a:z])) for a, z in itertools.pairwise(block.off.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, name])
@@ -293,7 +293,7 @@ def remove_repeated(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """
     _, cleaned = _classes(texts_of(docs), k)
     digest, whole, kept = (unused(x, docs) for x in ("_digest", "_whole", "_kept"))
-    rows = docs.mapInArrow(_with_digest(digest), T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
+    rows = mapped(docs, _with_digest(digest, docs.columns.index("text")), T.StructField(digest, T.BinaryType()))
     rows = rows.join(cleaned.select(F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("kept").alias(kept)), digest, "left")
     text = F.when(F.col(whole), F.lit("")).otherwise(F.coalesce(kept, "text"))
     return rows.select(*[text.alias("text") if c == "text" else x for c, x in zip(docs.columns, columns(docs), strict=True)])
