@@ -26,11 +26,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as V
-from tessera.llm.common import mapped, texts_of
+from tessera.llm.common import mapped, stored, texts_of
 
 SAMPLE = 1500
 SAMPLE_TEXT = 1 << 16
@@ -300,13 +300,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on up to ``sample`` documents with a base match (by a hash of the id) and a third as many others.
 
     Only texts of up to ``SAMPLE_TEXT`` bytes are learned from.  One pass over the texts
-    chooses the ids, each partition handing on its first ones only.
+    marks the ids; of those, each partition hands on its first ones only.
     """
     rows = docs.filter(F.octet_length("text") <= SAMPLE_TEXT).select("doc_id", "text")
     hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("text").contains("AKIA") | F.col("text").rlike("[0-9a-f]{16}")
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
-    marked = rows.select("doc_id", hit.alias("hit")).withColumn("place", F.row_number().over(Window.partitionBy("hit").orderBy(*order)))
-    ids = marked.filter(F.col("place") <= sample).filter(F.col("hit") | (F.col("place") <= sample // 3)).select("doc_id").distinct()
+    marked = stored(rows.select("doc_id", hit.alias("hit")))
+    first = lambda which, n: marked.filter(which).orderBy(*order).limit(n).select("doc_id")
+    ids = first("hit", sample).union(first("not hit", sample // 3)).distinct()
     picked = rows.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(2 * sample).collect()  # `ids` has 4/3 `sample` rows at most
     return Field().fit(*_examples([r.text for r in sorted(picked, key=lambda r: (r.doc_id, r.text))]))
 
