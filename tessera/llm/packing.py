@@ -28,6 +28,7 @@ from tessera.llm.common import stored, texts_of
 
 WINDOW = 1024
 SEPARATOR = 0
+BLOCK_BYTES = 1 << 19  # of text encoded at once; larger blocks only take more memory
 
 
 class _Tightest:
@@ -115,7 +116,7 @@ def _pieces(path: str, window: int):
         c = _encoder(path)
         for batch in batches:
             length, crc = [], []
-            for block in V.blocks(batch.column(1)):
+            for block in V.blocks(batch.column(1), BLOCK_BYTES):
                 ids, off = c.encode_block(block)
                 raw, end = ids.tobytes(), SEPARATOR.to_bytes(4, "little")
                 for a, z in itertools.pairwise(off.tolist()):
