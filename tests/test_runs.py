@@ -147,6 +147,13 @@ def test_fallback_rules(spark):
     assert [r.links for r in H.read_pages(df, ("text",)).collect()] == [[]] * 4
 
 
+def test_page_text_resolves_whole_entities_once(spark):
+    html = ["<title>a &amp; b&amp</title><p>c</p>", "&amp;lt; &ampx; &lt;b&gt; &#39;&#x41;&eacute; AT&T &amp", "<script>&amp</script>&copy;&copy &nbsp; x", None]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = {r.page_id: r.text for r in H.read_text(df).collect()}
+    assert got == {0: "a & b&ampc", 1: "&lt; &ampx; <b> 'A\u00e9 AT&T &amp", 2: "\u00a9&copy x", 3: ""}
+
+
 def test_pages_that_break_are_named(spark, monkeypatch):
     deep = "<div>" * 30000 + "a@x.org"
     df = spark.createDataFrame([(1, "<p>a@x.org</p>"), (2, deep), (3, None)], "page_id long, html string")
