@@ -13,6 +13,7 @@ from tessera.operators import contacts as C
 from tessera.plans import pages as pages_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
+TASK_ROWS = 5000
 
 # Contacts made of customers and nations, in SQL that both engines read.
 CONTACTS = """
@@ -34,8 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, dealt out to tasks of about ``TASK_ROWS`` rows.
+
+    Their rows are so short that a large table is one part of one file, which one task
+    would read and do all work on.
+    """
+    rows = table(spark, sf_dir, "customer")
+    n = rows.count()  # from the file's footer
+    return rows.repartition(-(-n // TASK_ROWS)) if n > TASK_ROWS else rows
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CONTACTS.replace("from customer join nation", "from {customer} join {nation}"), customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+    return spark.sql(CONTACTS.replace("from customer join nation", "from {customer} join {nation}"), customer=customers(spark, sf_dir), nation=table(spark, sf_dir, "nation"))
 
 
 QUERIES: dict[str, Query] = {}
@@ -100,7 +112,7 @@ def email_validate_strict(spark, sf_dir):
 
 def _odd_emails(spark, sf_dir):
     odd = F.expr("case c_custkey % 6 when 0 then 'a@b' when 1 then 'a..b@x.com' when 2 then '.a@x.com' when 3 then 'a@@x.com' when 4 then 'a-@x.co' else concat('c', c_custkey, '@mail.org') end")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), odd.alias("email"))
+    return customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), odd.alias("email"))
 
 
 @query(f"select id, email, case when regexp_matches(split_part(email, '@', 2), '\\.edu|\\.gov|\\.org') then cast(0.5 as double) + cast(0.2 as double) + cast(0.1 as double) + cast(0.1 as double) else cast(0.5 as double) + cast(0.1 as double) + cast(0.1 as double) end as score from ({CONTACTS})")
@@ -114,7 +126,7 @@ def email_confidence_score(spark, sf_dir):
 from (select c_custkey as id, case c_custkey % 5 when 0 then 'john.smith' when 1 then 'jsmith' when 2 then 'a_byron' when 3 then 'john' else 'ann-' || c_custkey end as u from customer)""")
 def name_from_email(spark, sf_dir):
     u = F.expr("case c_custkey % 5 when 0 then 'john.smith' when 1 then 'jsmith' when 2 then 'a_byron' when 3 then 'john' else concat('ann-', c_custkey) end")
-    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), u.alias("u"))
+    df = customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), u.alias("u"))
     return df.withColumn("name", S.name_from_email(F.concat("u", F.lit("@x.com"))))
 
 
@@ -219,21 +231,21 @@ def clean_text(spark, sf_dir):
 def deobfuscate(spark, sf_dir):
     """Hidden addresses in made-up sentences, with the rule that found them."""
     text = F.expr("concat('write user', id, case id % 4 when 0 then '@' when 1 then ' [at] ' when 2 then '(AT)' else ' at ' end, 'host', id % 7, case id % 4 when 0 then '.' when 1 then ' [dot] ' when 2 then '(dot)' else ' dot ' end, 'com')")
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey as id").withColumn("t", text)
+    df = customers(spark, sf_dir).selectExpr("c_custkey as id").withColumn("t", text)
     return C.deobfuscate(df, "t", "id")
 
 
 @query("select id, case id % 4 when 0 then 'linkedin' when 1 then 'github' when 2 then 'youtube' else 'tiktok' end as platform, case id % 4 when 0 then 'https://www.linkedin.com/in/u-' || id when 1 then 'http://GitHub.com/u' || id || '/x' when 2 then 'https://youtube.com/channel/u' || id else 'https://tiktok.com/@u.' || id end as url, case id % 4 when 0 then 'u-' || id when 3 then 'u.' || id else 'u' || id end as username from (select c_custkey as id from customer)")
 def social_profiles(spark, sf_dir):
     url = F.expr("case id % 4 when 0 then concat('https://www.linkedin.com/in/u-', id) when 1 then concat('http://GitHub.com/u', id, '/x') when 2 then concat('https://youtube.com/channel/u', id) else concat('https://tiktok.com/@u.', id) end")
-    return C.social_profiles(table(spark, sf_dir, "customer").selectExpr("c_custkey as id").withColumn("u", url), "u", "id")
+    return C.social_profiles(customers(spark, sf_dir).selectExpr("c_custkey as id").withColumn("u", url), "u", "id")
 
 
 @query("""select id, url, id % 4 < 3 and id % 5 = 0 and not (id % 3 = 0) and (id % 2 = 0 or id % 200 <= 100) as ok from (select c_custkey as id, 'http://' || case when c_custkey % 5 = 0 then 'a.com' else 'b.com' end || case when c_custkey % 3 = 0 then '/x.PDF' else '/x' end || case when c_custkey % 2 = 1 then '?page=' || (c_custkey % 200) else '' end as url from customer)""")
 def url_filter(spark, sf_dir):
     """Links that a crawl of one host would follow."""
     url = F.expr("concat('http://', if(id % 5 = 0, 'a.com', 'b.com'), if(id % 3 = 0, '/x.PDF', '/x'), if(id % 2 = 1, concat('?page=', id % 200), ''))")
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey as id").withColumn("url", url)
+    df = customers(spark, sf_dir).selectExpr("c_custkey as id").withColumn("url", url)
     return df.withColumn("ok", S.may_crawl(F.col("url"), F.lit("a.com"), F.col("id") % 4))
 
 

@@ -9,7 +9,7 @@ from tessera.functions import texts as T
 from tessera.operators import contacts as C
 from tessera.operators import matcher as M
 from tessera.operators import robots as R
-from tessera.plans.catalog import _SCAN, _SQL_EMAIL, P, query, table
+from tessera.plans.catalog import _SCAN, _SQL_EMAIL, P, customers, query, table
 from tessera.sources import people as X
 
 _NAMES = "case c_custkey % 9 when 0 then 'Ada Byron' when 1 then 'ada byron' when 2 then 'Info Desk' when 3 then 'Ada' when 4 then 'Ann Lee Stone Roe' when 5 then 'University Of Ghent' when 6 then 'Team 1234567 X' when 7 then 'Dr Bob Stone' end"
@@ -17,7 +17,7 @@ _EMAILS = "case c_custkey % 4 when 0 then 'ada.byron@x.com' when 1 then 'als@x.c
 
 
 def _customers(spark, sf_dir, **columns: str):
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", *[f"{v} as {k}" for k, v in columns.items()])
+    return customers(spark, sf_dir).selectExpr("c_custkey as id", *[f"{v} as {k}" for k, v in columns.items()])
 
 
 @query(f"""with e as ({_SCAN.format(key="doc_id", text="text", table="documents", p=P.EMAIL, valid=_SQL_EMAIL)}),
@@ -130,7 +130,7 @@ _MARKED = """case c_custkey % 3
 
 
 def _html(spark, sf_dir, html: str):
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey as page_id", f"{html} as html")
+    return customers(spark, sf_dir).selectExpr("c_custkey as page_id", f"{html} as html")
 
 
 @query("""select c_custkey as page_id, 0 as ord, case c_custkey % 3 when 0 then 'a' || c_custkey || '@x.org' else 'b' || c_custkey || '@y.com' end as email, case c_custkey % 3 when 0 then 'Ada Byron' else 'Bob Stone' end as name,

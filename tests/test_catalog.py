@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.plans import catalog, fields  # noqa: F401
@@ -52,3 +53,12 @@ def test_crawl_levels_over_every_line_item(spark, data):
         want |= dict.fromkeys(level, depth)
     got = catalog.QUERIES["crawl_levels_whole"](spark, data).collect()
     assert len(got) == len(want) and {r.node: r.depth for r in got} == want and max(want.values()) == 2
+
+
+@pytest.mark.parametrize("name", ["markup_fields"])
+def test_customers_in_one_file_are_dealt_out(spark, tmp_path, name):
+    rows = 8 * catalog.TASK_ROWS
+    spark.range(1, rows + 1, 1, 1).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == (rows if name == "title_windows" else rows - rows // 3 - (rows % 3 == 2)) and len(sizes) == 8 and max(sizes) <= catalog.TASK_ROWS + 8
