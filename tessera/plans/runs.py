@@ -9,7 +9,7 @@ from tessera.functions import wording as W
 from tessera.operators import contacts as C
 from tessera.operators import crawl as R
 from tessera.plans import pages as pages_plan
-from tessera.plans.catalog import _FIELDS, _VALIDATED, CONTACTS, contacts, contact_validate, query, table
+from tessera.plans.catalog import _FIELDS, _VALIDATED, CONTACTS, contacts, contact_validate, customers, query, table
 from tessera.settings import Settings
 from tessera.sources import exports as E
 from tessera.sources import html as H
@@ -30,7 +30,7 @@ def crawl_sites(spark, sf_dir):
 @query("""select id, url, regexp_matches(url, '^http://(a|b)\\.com/') and not url like 'http://b.com/%' and not (id % 3 = 0) as ok from (select c_custkey as id, 'http://' || case c_custkey % 4 when 0 then 'a.com' when 1 then 'b.com' else 'c.com' end || '/p' || c_custkey || case when c_custkey % 3 = 0 then '.zip' else '' end as url from customer)""")
 def url_filter_lists(spark, sf_dir):
     """Links of any host that lists of allowed and excluded hosts let pass."""
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "concat('http://', case c_custkey % 4 when 0 then 'a.com' when 1 then 'b.com' else 'c.com' end, '/p', c_custkey, if(c_custkey % 3 = 0, '.zip', '')) as url")
+    df = customers(spark, sf_dir).selectExpr("c_custkey as id", "concat('http://', case c_custkey % 4 when 0 then 'a.com' when 1 then 'b.com' else 'c.com' end, '/p', c_custkey, if(c_custkey % 3 = 0, '.zip', '')) as url")
     own = F.try_parse_url("url", F.lit("AUTHORITY"))
     return df.withColumn("ok", S.may_crawl(F.col("url"), own, F.lit(0), 3, ("a.com", "b.com"), ("b.com",)))
 
@@ -94,14 +94,14 @@ def text_finds(spark, sf_dir):
 def title_windows(spark, sf_dir):
     """The title within three tokens of a name, and a phone number with other marks."""
     text = "case c_custkey % 4 when 0 then concat('the director, Ada Byron; tel 555.', lpad(cast(c_custkey % 1000 as string), 3, '0'), '.1234') when 1 then 'Ada Byron is our ANALYST' when 2 then 'manager of a big house near Ada Byron' else 'Ada Byron, senior manager and director' end"
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", f"{text} as t")
+    df = customers(spark, sf_dir).selectExpr("c_custkey as id", f"{text} as t")
     return df.select("id", W.title_in_window(F.col("t"), F.lit("Ada Byron")).alias("title"), F.get(W.hidden_phones(F.col("t")), F.lit(0)).alias("phone"))
 
 
 @query("select id, rule, email from (select c_custkey as id, unnest([cast(0 as int), cast(6 as int)]) as rule, 'u' || c_custkey as u from customer) join (select 0 as r, 'cs.mit' as h union all select 6, 'cs.mit.edu') on r = rule cross join (select '' as x) , lateral (select u || '@' || h as email)")
 def deobfuscate_long_domains(spark, sf_dir):
     """Hidden addresses whose domain has three parts."""
-    df = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "concat('to u', c_custkey, ' @ cs . mit . edu') as t")
+    df = customers(spark, sf_dir).selectExpr("c_custkey as id", "concat('to u', c_custkey, ' @ cs . mit . edu') as t")
     return C.deobfuscate(df, "t", "id")
 
 

@@ -55,7 +55,7 @@ def test_crawl_levels_over_every_line_item(spark, data):
     assert len(got) == len(want) and {r.node: r.depth for r in got} == want and max(want.values()) == 2
 
 
-@pytest.mark.parametrize("name", ["markup_fields"])
+@pytest.mark.parametrize("name", ["markup_fields", "title_windows"])
 def test_customers_in_one_file_are_dealt_out(spark, tmp_path, name):
     rows = 8 * catalog.TASK_ROWS
     spark.range(1, rows + 1, 1, 1).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
