@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: A worker holds two Arrow batches at a time; Spark's 64 MB (or 10,000 rows) each would be most of what it needs.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package as a Python file to the application, once."""
+    """Add the package as a Python file to the application, once; where the session sets no size of Arrow batches, set a small one."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, f"{_BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _sent:
         return

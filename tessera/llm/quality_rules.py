@@ -28,7 +28,8 @@ MAX_CLASS_DISTANCE = 0.29
 MAX_WORD_DISTANCE = 0.42
 COMMON = 24
 LANGUAGES = 10000
-FLUSH = 1_000_000  # words that a task remembers before it sends their counts
+FLUSH = 500_000  # words that a task remembers before it sends their counts
+BLOCK_BYTES = 1 << 19  # of texts at once; the counts need some 100 bytes for each
 _AT_ONCE = 16
 _CELLS = 1 << 22  # of a table of documents and common words
 
@@ -186,15 +187,15 @@ def _counts(batches):
         for x, parts in kept.items():
             for what in (_CHARS, _WORD, _TOTAL):
                 k, c = _added([(k, c) for w, k, c in parts if w == what])
-                lang.append(np.full(len(k), x, object)), kind.append(np.full(len(k), what, np.int8)), key.append(k.view(np.int64)), n.append(c)
+                lang.append(pa.repeat(pa.scalar(x, pa.string()), len(k))), kind.append(pa.repeat(pa.scalar(what, pa.int8()), len(k))), key.append(pa.array(k.view(np.int64))), n.append(pa.array(c))
         kept.clear()
-        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+        cat = lambda x, t: pa.concat_arrays(x) if x else pa.array([], t)
         return pa.RecordBatch.from_arrays([cat(lang, pa.string()), cat(kind, pa.int8()), cat(key, pa.int64()), cat(n, pa.int64())], names=["lang", "kind", "key", "n"])
 
     size = 0
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for block in V.blocks(batch.column(1)):
+        for block in V.blocks(batch.column(1), BLOCK_BYTES):
             w = V.words(block, lower=True)
             chars = classes(block)
             own = np.array([x or "" for x in langs[block.lo : block.hi]], object)
@@ -217,10 +218,12 @@ def _counts(batches):
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, inverse = np.unique(key, return_inverse=True)
-    out = np.zeros(len(key), np.int64)
-    np.add.at(out, inverse, n)
-    return key, out
+    if not len(key):
+        return key, n
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
 
 
 def references(docs: DataFrame) -> References:
@@ -248,7 +251,7 @@ def _judge(shared, min_words: int, class_limit: float, word_limit: float):
         for batch in batches:
             own = np.array([x in known for x in batch.column(2).to_pylist()], bool)
             cols = [[] for _ in range(10)]
-            for block in V.blocks(batch.column(1)):
+            for block in V.blocks(batch.column(1), BLOCK_BYTES):
                 w = V.words(block)
                 n = np.diff(w.off)
                 word_chars = _count(~V.IS_SEP[block.data] & (block.data & 0xC0 != 0x80), block.off)

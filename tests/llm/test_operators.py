@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -687,3 +688,26 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, data, odd, empty):
         for _, stage in pipeline.STAGES:
             out = stage(spark, table, data)
             assert out.count() <= max(200, table.count() * 50)
+
+
+def _peak(run) -> float:
+    """MB that numpy and Python hold at most while it runs."""
+    tracemalloc.start()
+    try:
+        for _ in run():
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _many_words(n: int, rows: int) -> list[pa.RecordBatch]:
+    return [pa.RecordBatch.from_arrays([pa.array(["en"] * rows), pa.array([" ".join(f"w{(i * rows + j) * 150 + k}" for k in range(150)) for j in range(rows)])], names=["lang", "text"]) for i in range(n)]
+
+
+def test_quality_counts_need_little_memory(spark):
+    few, many = _many_words(4, 1000), _many_words(12, 1000)
+    assert _peak(lambda: quality_rules._counts(many)) < 60
+    assert _peak(lambda: quality_rules._counts(many)) < 1.3 * _peak(lambda: quality_rules._counts(few))
+    size = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 5000) as text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").agg({"n": "max"}).first()[0]
+    assert size < 9 << 20  # a worker's batch
