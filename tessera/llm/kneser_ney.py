@@ -37,8 +37,8 @@ from tessera.llm import textvec as V
 from tessera.llm.common import shared_dir, texts_of
 
 END = np.uint64(0x5EED0E4D)
-FLUSH = 3_000_000
-SHARD_TOKENS = 1 << 23
+FLUSH = 1_000_000  # keys that a task remembers before it sends their counts
+SHARD_TOKENS = 1 << 21
 WORD_SHARDS = 1 << 16  # at most
 OPEN = 8192
 
@@ -317,7 +317,7 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select("text")
     folder = _local(shared_dir(spark))
     parts = docs.rdd.getNumPartitions()
-    model = Model(folder, word_shards=max(1, min(parts // 2, WORD_SHARDS)))
+    model = Model(folder, word_shards=max(1, min(parts, WORD_SHARDS)))
 
     def words(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)

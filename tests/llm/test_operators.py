@@ -711,3 +711,26 @@ def test_quality_counts_need_little_memory(spark):
     assert _peak(lambda: quality_rules._counts(many)) < 1.3 * _peak(lambda: quality_rules._counts(few))
     size = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 5000) as text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").agg({"n": "max"}).first()[0]
     assert size < 9 << 20  # a worker's batch
+
+
+def test_language_model_counts_need_little_memory():
+    def sums(n):
+        def run():
+            kept = kneser_ney._Sums(lambda key: (key >> np.uint64(62)).astype(np.int64))
+            for i in range(n):
+                yield from kept.add(V.mix(np.arange(i * 250_000, (i + 1) * 250_000, dtype=np.uint64)), np.ones(250_000, np.int64))
+            yield kept.flush()
+
+        return run
+
+    assert _peak(sums(16)) < 100 and _peak(sums(32)) < 1.1 * _peak(sums(16))
+    keys = np.sort(V.mix(np.arange(kneser_ney.SHARD_TOKENS, dtype=np.uint64)))  # a shard of different pairs only
+    parts = [np.sort(keys[i::4]) for i in range(4)]
+    table = pa.table({"shard": pa.array([0] * 4, pa.int32()), "key": [kneser_ney._pack(x) for x in parts], "count": [kneser_ney._small(np.ones(len(x), np.int64)) for x in parts]})
+
+    def merged():
+        shard, got, count = kneser_ney._merged(table)
+        assert (got == keys).all() and count.sum() == len(keys)
+        yield
+
+    assert _peak(merged) < 200
